@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from volscreen.llm import mixing, sharding
+from volscreen.llm import bpe, lines, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op3_sharding": sharding.op3_sharding,
+    "op7_bpe": bpe.op7_bpe,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
