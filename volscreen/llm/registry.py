@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from volscreen.llm import bpe, lines, mixing, sharding, toxicity
+from volscreen.llm import bpe, lines, mixing, search, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_ann": search.op2_ann,
     "op3_sharding": sharding.op3_sharding,
+    "op4_top_k": search.op4_top_k,
     "op7_bpe": bpe.op7_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -14,5 +16,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": lines.OP1_SQL,
+    "op4_top_k": search.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
