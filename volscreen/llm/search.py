@@ -19,7 +19,7 @@ from volscreen.llm.common import staged, table
 #: Queries in a block and rows that a task looks at together.
 BLOCK, ROWS = 4096, 16384
 #: Hash tables, hashes in each, bucket width on unit vectors and buckets visited per table.
-TABLES, HASHES, WIDTH, PROBES = 12, 6, 1.0, 320
+TABLES, HASHES, WIDTH, PROBES = 16, 6, 1.0, 400
 SEED = 20240917
 
 
