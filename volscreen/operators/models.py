@@ -90,12 +90,12 @@ def penalized(l1: float, l2: float):
             w = np.linalg.solve(gram + ridge * np.eye(len(gram)), moment)
         else:
             w, pull = np.zeros(len(gram)), gram.diagonal() + ridge
-            for _round in range(20000):
+            for _round in range(5000):
                 before = w.copy()
                 for j in range(len(w)):
                     rest = moment[j] - gram[j] @ w + gram[j, j] * w[j]
                     w[j] = np.sign(rest) * max(abs(rest) - l1, 0) / pull[j] if pull[j] > 0 else 0.0
-                if np.abs(w - before).max() < 1e-14:
+                if np.abs(w - before).max() < 1e-10 * max(np.abs(w).max(), 1e-300):
                     break
         return np.maximum(y.mean() + (test[features].to_numpy(float) - mean) / scale @ w, FLOOR)
 
