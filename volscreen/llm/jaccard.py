@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, mix64, staged, table, text_blocks
@@ -23,6 +23,8 @@ WORDS, NUM, DEN = 5, 75, 100
 ORDERS = 2
 #: Tokens that stand last in the first order: the most common ones, at most so many.
 COMMON = 65536
+#: Further passes of one candidate a set, over groups of at least LARGE sets.
+CENTRES, LARGE = 1, 16
 
 
 def shingle_sets(hasher: WordHasher, texts: list[bytes]) -> list[np.ndarray]:
@@ -49,8 +51,7 @@ def prefix(tokens: np.ndarray, order: int, common: np.ndarray, rank: np.ndarray)
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         last = common[at] == tokens
         key = np.where(last, np.uint64(1 << 63) + rank[at], key >> np.uint64(1))
-    k = prefix_size(len(tokens))
-    return tokens[np.argpartition(key, k - 1)[:k]] if k < len(tokens) else tokens
+    return tokens[np.argsort(key, kind="stable")[: prefix_size(len(tokens))]]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -118,11 +119,11 @@ def _prefixes(reps: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
                 firsts = [prefix(s, 0, common, rank) for s in sets]
                 k = [len(f) for f in firsts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(docs[lo:hi], k)), pa.array(np.repeat([len(s) for s in sets], k).astype(np.int32))],
-                    ["tok", "doc", "n"],
+                    [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(docs[lo:hi], k)), pa.array(np.repeat([len(s) for s in sets], k).astype(np.int32)), pa.array(np.concatenate([np.arange(x) for x in k]).astype(np.int32))],
+                    ["tok", "doc", "n", "pos"],
                 )
 
-    return reps.select("doc", "text").mapInArrow(run, "tok long, doc long, n int")
+    return reps.select("doc", "text").mapInArrow(run, "tok long, doc long, n int, pos int")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -168,6 +169,21 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
+def _reach(n: str, m: str, i: str, j: str) -> Column:
+    """Whether sets of n and m tokens whose first common prefix token is at i and j can be similar.
+
+    A later common token only allows less, so no pair is lost when each common token is judged so.
+    """
+    most = f"(1 + least({n} - {i} - 1, {m} - {j} - 1))"
+    return F.expr(f"{most} * {NUM + DEN} >= {NUM} * ({n} + {m})")
+
+
+def _told(tokens: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """The prefix tokens that several sets share, with each set's component so far."""
+    told = tokens.join(shared.select("tok"), "tok").join(comp, "doc", "left")
+    return told.withColumn("comp", F.coalesce("comp", "doc"))
+
+
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -190,15 +206,23 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     # one candidate for each set: the smallest set it shares a prefix token with
     star = tokens.join(shared, "tok").where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = staged(_verify(star, texts), "links-star")
-    comp = components(links)
-    told = tokens.join(shared.select("tok"), "tok").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    told = staged(told, "told")
+    for centre in range(CENTRES):
+        told = _told(tokens, shared, components(links))
+        # in large groups not yet of one component: one more candidate a set, by another centre
+        large = told.groupBy("tok").agg(
+            F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min_by(F.struct("doc", "comp", "n", "pos"), F.xxhash64("comp", F.lit(centre))).alias("c"),
+        ).where(F.col("m") >= LARGE).where("lo < hi").select("tok", "c")
+        met = told.join(large, "tok").where("comp <> c.comp").where(_reach("n", "c.n", "pos", "c.pos"))
+        star = met.groupBy(F.col("doc").alias("x")).agg(F.min_by("c.doc", F.xxhash64("c.doc", F.lit(centre))).alias("y"))
+        star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = links.unionByName(staged(_verify(star, texts), "links-star"))
+    told = staged(_told(tokens, shared, components(links)), "told")
     mixed = told.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     open_ = told.join(mixed, "tok")
-    x = open_.select("tok", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("tok", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    near = f"a < b AND ca <> cb AND {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
-    pairs = x.join(y, "tok").where(near).select("a", "b").distinct()
+    x, y = (open_.select("tok", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "comp")]) for side in "ab")
+    pairs = x.join(y, "tok").where("doc_a < doc_b AND comp_a <> comp_b").where(_reach("n_a", "n_b", "pos_a", "pos_b"))
+    pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
     links = links.unionByName(staged(_verify(pairs, texts), "links"))
     # rows of one id and several texts hold their sets together
     own = picked.select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
