@@ -96,7 +96,8 @@ def _common(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo, hi in text_blocks(texts, 1 << 24):
-                sets = shingle_sets(hasher, texts[lo:hi])
+                some = texts[lo:hi]  # counted together, hashed a small block at a time
+                sets = [s for x, y in text_blocks(some) for s in shingle_sets(hasher, some[x:y])]
                 tok, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = count >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(tok[often].view(np.int64)), pa.array(count[often])], ["tok", "c"])
