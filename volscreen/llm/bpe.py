@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import _SPACE, as_bytes, mix64, table, text_blocks
+from volscreen.llm.common import _SPACE, as_bytes, mix64, table, text_blocks, tidy
 
 #: On average one white space in CUT ends a chunk (a power of two).
 CUT = 128
@@ -204,7 +204,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids binary, decoded string")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json", package_dir: str = "/opt/tokenizers") -> str:

@@ -131,7 +131,7 @@ def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mix64(h)
 
 
-def text_blocks(texts: list[bytes | None], limit: int = 1 << 21):
+def text_blocks(texts: list[bytes | None], limit: int = 1 << 20):
     """Index ranges of texts of about ``limit`` bytes together (one longer text stands alone)."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -144,6 +144,30 @@ def text_blocks(texts: list[bytes | None], limit: int = 1 << 21):
         yield begin, len(texts)
 
 
+def release() -> None:
+    """Give freed memory back to the system; a Python worker lives on from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, whose worker keeps no freed memory once a task has ended."""
+
+    def all_of(batches):
+        yield from run(batches)
+        release()
+
+    return all_of
+
+
 def as_bytes(array) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes."""
     import pyarrow as pa

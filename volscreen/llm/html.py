@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import table, text_blocks
+from volscreen.llm.common import table, text_blocks, tidy
 
 # Fixed values of HTML: elements that never hold article text, and those that do not end a block.
 _NEVER = set("nav footer aside form script style noscript iframe svg button select template head dialog menu".split())
@@ -161,7 +161,7 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
                 )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

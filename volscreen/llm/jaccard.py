@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, mix64, staged, table, text_blocks
+from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, mix64, staged, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Global orders besides the first.
@@ -85,7 +85,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     ["doc", "n", "sig"],
                 )
 
-    return rows.mapInArrow(run, "doc long, n long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc long, n long, sig binary")
 
 
 def _common(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _common(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 often = count >= 3
                 yield pa.RecordBatch.from_arrays([pa.array(tok[often].view(np.int64)), pa.array(count[often])], ["tok", "c"])
 
-    counts = reps.select("doc", "text").mapInArrow(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
+    counts = reps.select("doc", "text").mapInArrow(tidy(run), "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "tok").limit(COMMON).collect()  # at most COMMON rows
     tok = np.array([r.tok for r in top], np.int64).view(np.uint64)
     rank = np.array([len(top) - i for i in range(len(top))], np.uint64)
@@ -124,7 +124,7 @@ def _prefixes(reps: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
                     ["tok", "doc", "n", "pos"],
                 )
 
-    return reps.select("doc", "text").mapInArrow(run, "tok long, doc long, n int, pos int")
+    return reps.select("doc", "text").mapInArrow(tidy(run), "tok long, doc long, n int, pos int")
 
 
 def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         .join(reps.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import staged, table
+from volscreen.llm.common import staged, table, tidy
 
 WINDOW = 3
 
@@ -46,7 +46,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                 ["w", "doc", "th", "pos"],
             )
 
-    return rows.mapInArrow(run, "w binary, doc long, th long, pos int")
+    return rows.mapInArrow(tidy(run), "w binary, doc long, th long, pos int")
 
 
 def _cut(text_and_starts: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import staged, table
+from volscreen.llm.common import staged, table, tidy
 
 #: Queries in a block and rows that a task looks at together.
 BLOCK, ROWS = 4096, 16384
@@ -110,7 +110,7 @@ def _search(rows: DataFrame, query_mod: int, k: int, kind: str, visit: Callable,
                         ["query_id", "vec_id", "score"],
                     )
 
-        part = kept.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+        part = kept.mapInArrow(tidy(run), f"query_id long, vec_id long, score {kind}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, partitions, staged, staged_path, table, text_blocks
+from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, partitions, staged, staged_path, table, text_blocks, tidy
 
 WINDOW, GRAM = 13, 5
 BATCHES, MOST_RUNS = 3, 2
@@ -49,7 +49,7 @@ def _fingerprint_rows(rows: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(own).view(np.int64)), pa.array(np.repeat(docs[lo:hi], [len(x) for x in own]))], ["fp", "doc"]
                 )
 
-    return rows.select("doc", "text").mapInArrow(run, "fp long, doc long")
+    return rows.select("doc", "text").mapInArrow(tidy(run), "fp long, doc long")
 
 
 class FingerprintIndex:
@@ -125,7 +125,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                     ["h1", "h2", "doc", "th", "pos", "later"],
                 )
 
-    return rows.mapInArrow(run, "h1 long, h2 long, doc long, th long, pos int, later boolean")
+    return rows.mapInArrow(tidy(run), "h1 long, h2 long, doc long, th long, pos int, later boolean")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                 ["doc", "n_words", "n_removed", "kept"],
             )
 
-    return rows.select("doc", "text", "copy", "starts").mapInArrow(run, "doc long, n_words long, n_removed long, kept string")
+    return rows.select("doc", "text", "copy", "starts").mapInArrow(tidy(run), "doc long, n_words long, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, table, text_blocks
+from volscreen.llm.common import WordHasher, as_bytes, table, text_blocks, tidy
 
 #: Hashed word features, and the most rows of either kind that training reads.
 BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 17, 6000, 12000
@@ -79,7 +79,7 @@ def _bucket_rows(rows: DataFrame) -> DataFrame:
                 found = [f.tobytes() for f in features(hasher, [t or b"" for t in texts[lo:hi]])]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(found, pa.binary())], ["toxic", "f"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, f binary")
+    return rows.select("text", "toxic").mapInArrow(tidy(run), "toxic int, f binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> tuple[np.ndarray, float]:
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: bool = False,
     else:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("scored_text"))
         names = rows.drop("scored_text").schema
-    scored = rows.mapInArrow(run, type(names)(list(names.fields)).add("toxic_score", "double"))
+    scored = rows.mapInArrow(tidy(run), type(names)(list(names.fields)).add("toxic_score", "double"))
     if keep:
         return scored
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
