@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word, as every contract of this subpackage has it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,14 +39,23 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again; the shuffle files of the write go when it ends."""
     spark = df.sparkSession
-    path = staged_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
+    return stored(df, staged_path(df.sparkSession, name))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, mix64, staged, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, discard, gram_hashes, mix64, staged, staged_path, stored, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Global orders besides the first.
@@ -179,10 +179,9 @@ def _reach(n: str, m: str, i: str, j: str) -> Column:
     return F.expr(f"{most} * {NUM + DEN} >= {NUM} * ({n} + {m})")
 
 
-def _told(tokens: DataFrame, shared: DataFrame, comp: DataFrame) -> DataFrame:
+def _told(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """The prefix tokens that several sets share, with each set's component so far."""
-    told = tokens.join(shared.select("tok"), "tok").join(comp, "doc", "left")
-    return told.withColumn("comp", F.coalesce("comp", "doc"))
+    return shared.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -193,7 +192,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     only if no other row has a null id, and its component id may be null.  Other columns are not
     read; an empty table gives an empty one.
     """
-    null = -(1 << 63)
+    spark, null = docs.sparkSession, -(1 << 63)
     node = F.coalesce(F.col(id_col).cast("long"), F.lit(null))
     rows = docs.select(node.alias("doc"), F.col(text_col).cast("string").alias("text"))
     sets = staged(_sets(rows), "sets")
@@ -202,13 +201,16 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     texts = rows.where("text IS NOT NULL").join(groups.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
     texts = staged(texts.dropDuplicates(["doc"]), "rep-texts")
     common, rank = _common(texts)
-    tokens = staged(_prefixes(texts, common, rank), "prefixes")
-    shared = tokens.groupBy("tok").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("tok", "a")
+    held = staged_path(spark, "prefixes")
+    tokens = stored(_prefixes(texts, common, rank), held)
+    several = tokens.groupBy("tok").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("tok", "a")
+    shared = staged(tokens.join(several, "tok"), "shared-prefixes")
+    discard(spark, held)
     # one candidate for each set: the smallest set it shares a prefix token with
-    star = tokens.join(shared, "tok").where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    star = shared.where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = staged(_verify(star, texts), "links-star")
     for centre in range(CENTRES):
-        told = _told(tokens, shared, components(links))
+        told = _told(shared, components(links))
         # in large groups not yet of one component: one more candidate a set, by another centre
         large = told.groupBy("tok").agg(
             F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
@@ -218,7 +220,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
         star = met.groupBy(F.col("doc").alias("x")).agg(F.min_by("c.doc", F.xxhash64("c.doc", F.lit(centre))).alias("y"))
         star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         links = links.unionByName(staged(_verify(star, texts), "links-star"))
-    told = staged(_told(tokens, shared, components(links)), "told")
+    told = staged(_told(shared, components(links)), "told")
     mixed = told.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     open_ = told.join(mixed, "tok")
     x, y = (open_.select("tok", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "comp")]) for side in "ab")
