@@ -127,12 +127,12 @@ def bootstrap(diffs: DataFrame, block: int = 15, resamples: int = 1999, alpha: f
     return diffs.groupBy("symbol", "model").applyInPandas(run, schema)
 
 
-def summary_with_inference(panel: DataFrame, horizon: int = 5, block: int = 15, alpha: float = 0.05) -> DataFrame:
+def summary_with_inference(panel: DataFrame, horizon: int = 5, block: int = 15, alpha: float = 0.05, resamples: int = 1999, seed: int = 0) -> DataFrame:
     """The race's summary with bootstrap and Diebold-Mariano columns; the baseline's are null."""
     diffs = differentials(panel)
     tail = F.udf(lambda t, n: None if t is None else student_tail(t, n - 1), "double")  # one row a model
     dm = diebold_mariano(diffs, horizon).select("symbol", "model", "dm", "hln", tail("hln", "n_obs").alias("hln_p_value"))
-    test = bootstrap(diffs, block, alpha=alpha).drop("status", "n_obs")
+    test = bootstrap(diffs, block, resamples, alpha, seed).drop("status", "n_obs")
     joined = summarize(fold_metrics(panel)).join(test, ["symbol", "model"], "left").join(dm, ["symbol", "model"], "left")
     return joined.withColumn("significant_vs_baseline", (F.col("p_value") <= alpha) & (F.col("mean_diff") < 0)).orderBy("symbol", "qlike", "model")
 

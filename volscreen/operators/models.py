@@ -111,7 +111,7 @@ MODELS: dict[str, Callable] = {
     "ewma_recursive": recursive_ewma,
     "ridge": penalized(0.0, -1.0),
     "lasso": penalized(0.001, 0.0),
-    "elastic_net": penalized(0.0005, 0.0005),
+    "elasticnet": penalized(0.0005, 0.0005),
 }
 
 

@@ -13,6 +13,7 @@ from volscreen.functions import features as fx
 from volscreen.operators import evaluate as ev
 from volscreen.operators import features as ft
 from volscreen.operators import folds as fd
+from volscreen.operators import forest as rf
 from volscreen.operators import models as md
 from volscreen.operators import validate as va
 from volscreen.sources.bars import bars_of
@@ -225,6 +226,8 @@ QUERIES = {
     "race_with_inference": lambda s, d: _r(flagship(s, d)),
     "bootstrap_nonoverlap": _panel_to(ev.differentials, lambda x: ev.non_overlapping(x, HORIZON), lambda x: ev.bootstrap(x, 15)),
     "factor_ranking": ranking,
+    "forecast_forest": _forecast("random_forest"),
+    "forest_importance": lambda s, d: _r(rf.forest_importance(folds(s, d), HORIZON)),
     "multi_horizon": multi_horizon,
     "screen_batch": screen_batch,
 }
