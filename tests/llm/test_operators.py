@@ -168,6 +168,21 @@ def test_html(spark):
     assert html.unescape("&copy;") not in text and not re.search("nice", text)
 
 
+def test_html_parts_inside_an_article():
+    weights = pages.fit()
+    advert = "word " * 40
+    links = "<ul>" + '<li><a href="/x">some other page</a></li>' * 15 + "</ul>"
+    head, lead, body, last = "seven words stand in this head line", "a lead of four", "body " * 60, "closing words of it"
+    for gap in (f"<aside>{advert}</aside>", f'<div class="newsletter"><p>{advert}</p></div>', f'<div class="ad">{advert}</div>', f"<nav>{links}</nav>", links):
+        inner = f"<h1>{head}</h1><p>{lead}</p>{gap}<p>{body}</p>{gap}<p>{last}</p>"
+        for page in (f"<article>{inner}</article>", f"<main><div>{inner}</div></main>", f'<div id="content">{inner}</div>'):
+            text = pages.extract(f"<html><body><nav><a href=/>home</a></nav>{page}<footer>us</footer></body></html>", weights).split("\n\n")
+            assert [t for t in text if t != "some other page"] == [head, lead, body.strip(), last], page
+    # links outside of the article still part it from what stands before them
+    page = f"<body><div>welcome guest</div>{links}<article><h1>{head}</h1><p>{body}</p></article>{links}</body>"
+    assert pages.extract(page, weights) == f"{head}\n\n{body.strip()}"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocab = [f"v{i}" for i in range(60)]

@@ -54,21 +54,30 @@ LABELLED = (
 )
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, dropped, linked): kind is tag, end or text; dropped parts are inside boilerplate."""
-    stack: list[tuple[str, bool]] = []
+def _region(stack: list[tuple[str, bool, int]]) -> int | None:
+    """The outermost article or main, else the element that holds the block (none if that is the body)."""
+    outer = next((n for t, _, n in stack if t in ("article", "main")), None)
+    if outer is not None:
+        return outer
+    blocks = [s for s in stack if s[0] not in _INLINE]
+    return blocks[-2][2] if len(blocks) > 1 and blocks[-2][0] not in ("html", "body") else None
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
+    """(kind, value, dropped, linked, region): kind is tag, end or text; dropped parts are inside boilerplate."""
+    stack: list[tuple[str, bool, int]] = []
     for m in _TOKEN.finditer(page):
         text, tag = m["text"], m["tag"]
         dropped = bool(stack) and stack[-1][1]
         if text is not None:
-            yield "text", text, dropped, any(t == "a" for t, _ in stack[-4:])
+            yield "text", text, dropped, any(s[0] == "a" for s in stack[-4:]), None if dropped or text.isspace() else _region(stack)
         elif tag is not None:
             tag = tag.lower()
             if m["end"]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if at is not None:
                     del stack[at:]
-                yield "end", tag, dropped, False
+                yield "end", tag, dropped, False, None
                 continue
             if tag in ("article", "main", "body"):
                 stack = [s for s in stack if not s[1]]
@@ -77,17 +86,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 stack.pop()
                 dropped = bool(stack) and stack[-1][1]
             names = " ".join(x.strip("\"'") for x in _NAME.findall(m["attrs"]))
-            inside = any(t == "article" for t, _ in stack)
+            inside = any(s[0] == "article" for s in stack)
             own = tag in _NEVER or (tag == "header" and not inside) or (
                 bool(names) and tag not in ("html", "body", "article", "main") and bool(_HINT.search(names))
             )
-            yield "tag", tag, dropped or own, False
+            yield "tag", tag, dropped or own, False, None
             if tag not in _VOID and not m["attrs"].endswith("/"):
-                stack.append((tag, dropped or own))
+                stack.append((tag, dropped or own, m.start()))
 
 
 def fit(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, bool], float]:
-    """Log-odds of content for words (plain, linked, dropped) and for each tag, from labelled pages.
+    """Log-odds of content for words (plain, linked) and for each tag, from labelled pages.
 
     Tags cost at least a little: a run of tags without words is never content.
     """
@@ -98,43 +107,56 @@ def fit(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, bool], float]:
             if part in "{}" and part:
                 content = part == "{"
                 continue
-            for kind, value, dropped, linked in tokens(part):
+            for kind, value, dropped, linked, _ in tokens(part):
                 if kind == "text":
-                    seen[content]["drop" if dropped else "link" if linked else "word"] += len(value.split())
+                    if not dropped:
+                        seen[content]["link" if linked else "word"] += len(value.split())
                 elif kind == "tag":
                     seen[content]["<" + value] += 1
-    words = {k: math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) for k in ("word", "link", "drop")}
+    words = {k: math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) for k in ("word", "link")}
     tags = {k: min(-0.1, math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) - 1) for k in {*seen[True], *seen[False]} if k[0] == "<"}
     return words | tags
 
 
 def extract(page: str, weights: dict) -> str:
-    """The text of a page: blocks joined by two line feeds."""
+    """The text of a page: blocks joined by two line feeds.
+
+    Dropped parts score nothing.  Links and tags between two texts of one region (an article, or
+    blocks side by side in one element) cost nothing either, so they cannot part them.
+    """
     blocks: list[list[str]] = [[]]
     scores: list[float] = []
     block_of: list[int] = []
-    for kind, value, dropped, linked in tokens(page):
+    regions: list[int | None] = []
+    for kind, value, dropped, linked, region in tokens(page):
         if kind == "text":
             n = len(value.split())
-            if n:
-                scores.append(n * weights["drop" if dropped else "link" if linked else "word"])
-                block_of.append(-1 if dropped else len(blocks) - 1)
+            if n and not dropped:
+                scores.append(n * weights["link" if linked else "word"])
+                block_of.append(len(blocks) - 1)
+                regions.append(region)
             if not dropped:
                 blocks[-1].append(value)
             continue
-        if kind == "tag":
+        if kind == "tag" and not dropped:
             scores.append(weights.get("<" + value, -1.0))
             block_of.append(-1)
+            regions.append(None)
         if value not in _INLINE:
             if blocks[-1]:
                 blocks.append([])
         elif value == "br" and not dropped:
             blocks[-1].append(" ")
     best, best_at, run, begin = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
+    held: dict[int, tuple[float, int]] = {}  # the run up to the last text of each region
+    for i, (s, region) in enumerate(zip(scores, regions, strict=True)):
         if run <= 0:
             run, begin = 0.0, i
+        if s > 0 and region in held:
+            run, begin = max((run, begin), held[region], key=lambda x: (x[0], -x[1]))
         run += s
+        if s > 0 and region is not None:
+            held[region] = (run, begin)
         if run > best:
             best, best_at = run, (begin, i + 1)
     hit = dict.fromkeys(b for b in block_of[slice(*best_at)] if b >= 0)
