@@ -183,6 +183,32 @@ def test_html_parts_inside_an_article():
     assert pages.extract(page, weights) == f"{head}\n\n{body.strip()}"
 
 
+def test_html_names_that_are_no_boilerplate():
+    weights = pages.fit()
+    body, end = "<p>" + "body " * 30 + "</p>", "<p>the closing words</p>"
+    text = "\n\n".join(["the head line", ("body " * 30).strip(), "the closing words"])
+    for page in (
+        f'<article><header class="entry-header"><h1>the head line</h1></header>{body}{end}</article>',
+        f'<main><header class="page-header"><h1>the head line</h1></header>{body}{end}</main>',
+        f'<main><div class="post-header"><h1>the head line</h1></div>{body}{end}</main>',
+        f'<div class="x"><div class="post-header"><h1>the head line</h1></div>{body}{end}</div>',
+        f'<div class="x"><h1 class="header">the head line</h1>{body}{end}</div>',
+        *(f'<div class="content {c}"><h1>the head line</h1>{body}{end}</div>' for c in ("has-sidebar", "no-sidebar", "with-sidebar", "has-right-sidebar", "content--has-sidebar")),
+        *(f'<article><h2 id="{i}">the head line</h2>{body}{end}</article>' for i in ("share", "notice", "related-work")),
+        f'<article><h1>the head line</h1>{body}<section id="related-work">{end}</section></article>',
+    ):
+        assert pages.extract(f"<html><body>{page}</body></html>", weights) == text, page
+    # the same words still name boilerplate elsewhere
+    for gone in (
+        '<div class="sidebar">{}</div>', '<div class="content sidebar">{}</div>', '<div class="header">{}</div>', '<div id="share">{}</div>', '<section id="related-posts">{}</section>',
+        '<section id="comments">{}</section>', '<div class="has-ads ad">{}</div>',
+    ):
+        outer = gone.format("<p>not of the article</p>")
+        assert pages.extract(f"<body>{outer}<article><h1>the head line</h1>{body}{end}</article></body>", weights) == text, gone
+        if "header" not in gone:
+            assert pages.extract(f"<body><article><h1>the head line</h1>{body}{outer}{end}</article></body>", weights) == text, gone
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocab = [f"v{i}" for i in range(60)]

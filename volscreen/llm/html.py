@@ -26,10 +26,17 @@ _INLINE = set(
 )
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notice|newsletter|subscribe|sidebar|"
-    r"menu|nav(?:bar|igation)?|breadcrumbs?|header|footer|masthead|share|social|related|recommended|comments?|disqus|replies|widget|popup|modal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|cookies?|consent|notice|newsletter|subscribe|sidebar|"
+    r"menu|nav(?:bar|igation)?|breadcrumbs?|header|footer|masthead|share|social|related|recommended|comments?|disqus|replies|widget|popup|modal)(?=$|[\s_-])",
     re.I,
 )
+# Names that hold a hint without being boilerplate: states of a wrapper, headers of an article.
+_STATE = re.compile(r"(?:^|[_-])(?:has|no|not|with|without|show|hide)[_-]", re.I)
+_HEADS = {"header", "masthead"}
+_HEADED = re.compile(r"(?:^|[_-])(?:article|entry|post|story)(?:$|[_-])", re.I)
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Words beside a hint in the id of a section that is boilerplate; with other words it is an anchor.
+_LISTS = set("area articles block box container form items links list posts section stories thread".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|noscript|template|iframe|svg|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -38,7 +45,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAME = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 #: Labelled pages: the parts between the braces are content.
 LABELLED = (
@@ -54,6 +61,24 @@ LABELLED = (
 )
 
 
+def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether the class, id or role of an element (``inside`` an article or main) names boilerplate."""
+    for kind, value in _NAME.findall(attrs):
+        value = value.strip("\"'")
+        if not _HINT.search(value) or (kind.lower() == "id" and tag in _HEADINGS):
+            continue
+        for name in value.split():
+            hints = {h.lower() for h in _HINT.findall(name)}
+            if inside or tag in _HEADINGS or _HEADED.search(name):
+                hints -= _HEADS
+            if not hints or _STATE.search(name):
+                continue
+            if inside and tag == "section" and kind.lower() == "id" and not {*re.split("[_-]+", name.lower())} <= hints | _LISTS:
+                continue
+            return True
+    return False
+
+
 def _region(stack: list[tuple[str, bool, int]]) -> int | None:
     """The outermost article or main, else the element that holds the block (none if that is the body)."""
     outer = next((n for t, _, n in stack if t in ("article", "main")), None)
@@ -85,10 +110,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:
                 stack.pop()
                 dropped = bool(stack) and stack[-1][1]
-            names = " ".join(x.strip("\"'") for x in _NAME.findall(m["attrs"]))
-            inside = any(s[0] == "article" for s in stack)
+            inside = any(s[0] in ("article", "main") for s in stack)
             own = tag in _NEVER or (tag == "header" and not inside) or (
-                bool(names) and tag not in ("html", "body", "article", "main") and bool(_HINT.search(names))
+                tag not in ("html", "body", "article", "main") and _boilerplate(tag, m["attrs"], inside)
             )
             yield "tag", tag, dropped or own, False, None
             if tag not in _VOID and not m["attrs"].endswith("/"):
