@@ -9,6 +9,16 @@ from volscreen.llm import bpe, jaccard, lines, mixing, toxicity
 from volscreen.llm.common import staged, table
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row_key: the id, or where that is null a number of the row's own above 2**62."""
+    key = F.col("doc_id").cast("long")
+    nulls = docs.where(key.isNull())
+    if nulls.isEmpty():
+        return docs.withColumn("row_key", key)
+    nulls = staged(nulls.withColumn("row_key", F.lit(1 << 62) + F.monotonically_increasing_id()), "null-ids")
+    return docs.where(key.isNotNull()).withColumn("row_key", key).unionByName(nulls)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, trained on this stage's input, scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -26,9 +36,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near copies."""
-    gone = jaccard.jaccard_components(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest id of each component of near copies; null ids are single documents, larger than all others."""
+    rows = keyed(docs)
+    gone = jaccard.jaccard_components(rows, id_col="row_key").where("component_id < doc_id").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(gone, "row_key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

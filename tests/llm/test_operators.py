@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from volscreen.llm import bpe, html as pages, jaccard, lines, mixing, search, sharding, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, tok string, rep string"
@@ -84,6 +85,31 @@ def test_jaccard(docs, rows):
     assert got == {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def test_jaccard_texts_of_one_id(spark):
+    def near(start):
+        w = words(80, start).split()
+        w[40] = "other"
+        return " ".join(w)
+
+    texts = [(1, words(80)), (1, words(80, 200)), (1, words(80, 400)), (1, words(80, 200)), (2, near(0)), (3, near(200)), (4, near(400)), (5, words(80, 600))]
+    texts += [(None, words(80, 700)), (None, words(80, 850)), (6, near(700)), (7, near(850))]
+    got = sorted({(r.doc_id or 0, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()})
+    assert got == [(0, None), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, None), (7, None)]
+
+
+def test_pipeline_near_copies_of_null_ids(spark):
+    near = {}
+    for start in (0, 200, 400):
+        w = words(80, start).split()
+        w[40] = "other"
+        near[start] = " ".join(w)
+    rows = [(None, words(80)), (None, near[0]), (None, words(80, 200)), (2, near[200]), (3, words(80, 400)), (4, near[400]), (None, words(80, 600)), (None, None)]
+    kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    ids = [(r.doc_id, r.text) for r in kept]
+    assert len(ids) == 5 and {(2, near[200]), (3, words(80, 400)), (None, words(80, 600)), (None, None)} < {*ids}
+    assert sum(r in [(None, words(80)), (None, near[0])] for r in ids) == 1
+
+
 def test_bpe_round_trip(docs, rows):
     from tokenizers import Tokenizer
 

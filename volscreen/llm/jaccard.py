@@ -66,7 +66,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """row, n, sig for every row."""
+    """row, hash of the text, n, sig for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -78,14 +78,14 @@ def _sets(rows: DataFrame) -> DataFrame:
                 sets = shingle_sets(hasher, [t or b"" for t in texts[lo:hi]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
+                        *(batch.column(c).slice(lo, hi - lo) for c in (0, 2)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
                     ],
-                    ["doc", "n", "sig"],
+                    ["doc", "th", "n", "sig"],
                 )
 
-    return rows.mapInArrow(tidy(run), "doc long, n long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc long, th binary, n long, sig binary")
 
 
 def _common(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +195,15 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     spark, null = docs.sparkSession, -(1 << 63)
     node = F.coalesce(F.col(id_col).cast("long"), F.lit(null))
     rows = docs.select(node.alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("th", F.unhex(F.md5("text")))
     sets = staged(_sets(rows), "sets")
-    groups = staged(sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "reps")
-    picked = sets.where("n > 0").join(groups, "sig")
-    texts = rows.where("text IS NOT NULL").join(groups.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    texts = staged(texts.dropDuplicates(["doc"]), "rep-texts")
+    # every distinct set has a key of its own, in the order of the ids; an id may stand for several sets
+    groups = sets.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc", "th")).alias("least"))
+    groups = groups.select("sig", F.col("least.doc").alias("rep"), F.col("least.th").alias("th")).orderBy("rep", "th")
+    groups = staged(groups.withColumn("key", F.monotonically_increasing_id()), "reps")
+    picked = sets.where("n > 0").select("doc", "sig").join(groups.select("sig", "rep"), "sig")
+    texts = rows.where("text IS NOT NULL").join(groups.select(F.col("rep").alias("doc"), "th", "key"), ["doc", "th"])
+    texts = staged(texts.dropDuplicates(["doc", "th"]).select(F.col("key").alias("doc"), "text"), "rep-texts")
     common, rank = _common(texts)
     held = staged_path(spark, "prefixes")
     tokens = stored(_prefixes(texts, common, rank), held)
@@ -227,6 +231,9 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     pairs = x.join(y, "tok").where("doc_a < doc_b AND comp_a <> comp_b").where(_reach("n_a", "n_b", "pos_a", "pos_b"))
     pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
     links = links.unionByName(staged(_verify(pairs, texts), "links"))
+    for side in "ab":
+        links = links.join(groups.select(F.col("key").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+    links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # rows of one id and several texts hold their sets together
     own = picked.select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b")
     comp = components(links.unionByName(own))
