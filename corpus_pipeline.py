@@ -44,10 +44,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix enters it: none, once or twice (whole texts)."""
-    taken = mixing.taken_words(docs).where("taken > 0").select("doc_id", "size", "taken").groupBy("doc_id").agg(
+    rows = keyed(docs)
+    taken = mixing.taken_words(rows, id_col="row_key").where("taken > 0").select(F.col("doc_id").alias("row_key"), "size", "taken").groupBy("row_key").agg(
         F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("copies")
     )
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return rows.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,6 +141,18 @@ def test_mixing(docs, rows):
         assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 1
 
 
+def test_mixing_null_ids(spark):
+    rows = [(None if i % 2 else i // 4, words(20 + i, 30 * i), f"s{i % 3}") for i in range(24)] + [(None, "", "s0"), (None, None, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken_words(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for s in ("s0", "s1", "s2"):
+        assert abs(sum(r.taken for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 1
+    # the stage enters every text of null id as often as a text of its own id
+    alone = spark.createDataFrame([(None, words(30), "s0"), (None, words(50, 300), "s0")], docs.schema)
+    assert {r.text for r in corpus_pipeline.mix(spark, alone, "").collect()} == {words(30), words(50, 300)}
+
+
 def vectors(spark, n=400):
     rng = np.random.default_rng(3)
     m = rng.standard_normal((n, 16)).astype("float32").round(3)

@@ -124,11 +124,13 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     return places, sources, laid.join(schedule(sources), ["idx", "block"])
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
+def taken_words(docs: DataFrame, id_col="doc_id") -> DataFrame:
     """doc_id, size, idx, off and the words that the mix takes of each document."""
-    places, sources, takes = mix_sources(docs)
-    some = takes.groupBy("doc_id", "size", "idx", "off").agg(F.sum("n_words").alias("taken"))
-    rows = places.join(some, ["doc_id", "size", "idx", "off"], "left").select("doc_id", "size", "idx", "off", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    places, sources, takes = mix_sources(docs, id_col)
+    some = takes.groupBy("idx", "off").agg(F.sum("n_words").alias("taken"))
+    # among documents that have words a place is of one only; ids may be null or equal
+    taken = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
+    rows = places.join(some, ["idx", "off"], "left").select("doc_id", "size", "idx", "off", taken.alias("taken"))
     return rows.join(sources.select("idx", "source", "source_size", "target"), "idx")
 
 
