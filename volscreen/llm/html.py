@@ -3,6 +3,7 @@
 A page is a sequence of words and tags.  Words score positive where labelled pages have content and
 negative where they have menus, adverts and the like; tags score by how labelled pages use them.
 One linear scan finds the contiguous run of highest score, and the blocks it touches are the text.
+The lists of elements and names below decide what is boilerplate; the scan only bounds the region.
 """
 
 from __future__ import annotations
