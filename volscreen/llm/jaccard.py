@@ -3,8 +3,9 @@
 Texts of equal shingle sets are one representative.  Two sets of at least 75 % similarity share a
 token in the prefixes of both under every global order.  The first order (common tokens last) gives
 the candidates by an equal join on prefix tokens; the prefixes under the other orders are
-intersected before a pair is verified.  A pass over one candidate a set settles large groups of near
-copies first, so the full pass joins only sets that are not yet in one component.
+intersected inside verification, once both texts are at hand.  A pass over one candidate a set settles
+large groups of near copies first, so the full pass joins only sets that are not yet in one component:
+the components are complete, but links inside a component are not listed.
 """
 
 from __future__ import annotations
