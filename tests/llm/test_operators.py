@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from volscreen.llm import bpe, html as pages, jaccard, lines, mixing, search, sharding, substrings, toxicity
+from volscreen.llm import bpe, common, html as pages, jaccard, lines, mixing, search, sharding, substrings, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, w string, tok string, rep string"
 
@@ -54,6 +54,25 @@ def test_substrings(docs, rows):
         assert r.kept == b" ".join(x for x, c in zip(w, cut, strict=True) if not c).decode()
 
 
+def test_window_hashes_are_two():
+    g = int(common._GRAM.flat[0])
+    a, b = np.array([5, 7], np.uint64), np.array([6, (7 - g) % (1 << 64)], np.uint64)
+    assert common.gram_hashes(a, 2) == common.gram_hashes(b, 2)
+    assert common.gram_hashes(a, 2, 1) != common.gram_hashes(b, 2, 1)
+    first, second = (common.WordHasher(salt=s)([b"one two"])[0] for s in (0, 1))
+    assert not set(first) & set(second)
+
+
+def test_index_joins_compacted_runs(spark):
+    index = substrings.FingerprintIndex(spark)
+    batches = [[(1, 0), (2, 0), (9, 0)], [(1, 5), (3, 5)], [(2, 7), (3, 7), (4, 7)]]
+    shared = [sorted(r.fp for r in index.add(spark.createDataFrame(b, "fp long, doc long")).collect()) for b in batches]
+    assert shared == [[], [1], [2, 3]]
+    # the first two runs became one before the third batch was joined
+    assert [r.count() for r in index.runs] == [5, 3]
+    assert sorted(map(tuple, index.all().collect())) == sorted(x for b in batches for x in b)
+
+
 def test_lines(docs, rows):
     seen, want = set(), {}
     for i, t, *_ in rows:

@@ -74,8 +74,9 @@ def partitions(spark: SparkSession) -> int:
 # --- numpy word hashing -------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_GRAM = np.uint64(0xD6E8FEB86659FD93)
+#: Odd multipliers by salt: of a word's bytes and of a sequence's words.
+_BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_GRAM = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -90,8 +91,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_table(lower: bool) -> np.ndarray:
-    t = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+def _byte_table(lower: bool, base: np.uint64) -> np.ndarray:
+    t = mix64(np.arange(1, 257, dtype=np.uint64) * base)
     if lower:
         t[65:91] = t[97:123]
     return t
@@ -104,17 +105,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of many texts at once; ``lower`` folds A-Z."""
+    """64-bit hashes of the words of many texts at once; ``lower`` folds A-Z, ``salt`` (0, 1) gives other hashes."""
 
-    def __init__(self, lower: bool = False):
-        self.table = _byte_table(lower)
-        self.inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    def __init__(self, lower: bool = False, salt: int = 0):
+        self.base = _BASE[salt]
+        self.table = _byte_table(lower, self.base)
+        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.n = 0
 
     def _grow(self, n: int) -> None:
         if n > self.n:
             self.n = max(n, 1 << 20)
-            self.up, self.down = _powers(_BASE, self.n), _powers(self.inverse, self.n)
+            self.up, self.down = _powers(self.base, self.n), _powers(self.inverse, self.n)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts one after another, and each text's first word (and the end)."""
@@ -131,13 +133,13 @@ class WordHasher:
 
 
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """A hash of every n words that follow one another (across texts too: mask those)."""
+    """A hash of every n words that follow one another (across texts too: mask those); ``salt`` is 0 or 1."""
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     h = np.full(m, np.uint64(n + 1 + (salt << 8)), np.uint64)
     for j in range(n):
-        h *= _GRAM
+        h *= _GRAM[salt]
         h += words[j : j + m]
     return mix64(h)
 

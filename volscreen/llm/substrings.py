@@ -5,7 +5,7 @@ in it, so equal windows have equal fingerprints and a text has few.  Batches of
 index one after another: a batch's fingerprints are merge-joined with the sorted, immutable,
 bucketed runs of the batches before it, then become a run; too many runs are compacted into one.
 Windows under a fingerprint that several documents share are verified by two 64-bit hashes of all
-their words.
+their words, each with multipliers and word hashes of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, gram_hashes, partitions, staged, staged_path, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, discard, gram_hashes, partitions, staged, staged_path, table, text_blocks, tidy
 
 WINDOW, GRAM = 13, 5
 BATCHES, MOST_RUNS = 3, 2
@@ -56,18 +56,24 @@ class FingerprintIndex:
     """Sorted immutable runs of (fp, doc), each a table bucketed by fp in the shared folder."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.buckets, self.runs = spark, partitions(spark), []
+        self.spark, self.buckets, self.runs, self.paths = spark, partitions(spark), [], []
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"fingerprint_run_{uuid.uuid4().hex}"
+        name, path = f"fingerprint_run_{uuid.uuid4().hex}", staged_path(self.spark, "run")
         (
             rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp")
-            .option("path", staged_path(self.spark, "run")).saveAsTable(name)
+            .option("path", path).saveAsTable(name)
         )
+        self.paths.append(path)
         return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in (fp, doc) rows of new documents; returns the fingerprints they share, with each other or with history."""
+        if len(self.runs) >= MOST_RUNS:
+            old, self.paths = self.paths, []
+            self.runs = [self._write(self.all())]
+            for path in old:
+                discard(self.spark, path)
         run = self._write(batch)
         seen = run.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         shared = seen.where("lo < hi").select("fp")
@@ -75,8 +81,6 @@ class FingerprintIndex:
             shared = shared.unionByName(seen.select("fp").join(old.select("fp"), "fp", "left_semi"))
         shared = staged(shared.distinct(), "shared")
         self.runs.append(run)
-        if len(self.runs) > MOST_RUNS:
-            self.runs = [self._write(self.all())]
         return shared
 
     def all(self) -> DataFrame:
@@ -94,12 +98,13 @@ def _windows(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, other = WordHasher(), WordHasher(salt=1)
         for batch in batches:
             docs, ths, texts, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2)), batch.column(3)
             for lo, hi in text_blocks(texts, 1 << 22):
                 words, first = hasher(texts[lo:hi])
-                low, h1, h2 = fingerprints(words), gram_hashes(words, WINDOW), gram_hashes(words, WINDOW, 1)
+                again = np.concatenate([other(texts[lo + x : lo + y])[0] for x, y in text_blocks(texts[lo:hi])])
+                low, h1, h2 = fingerprints(words), gram_hashes(words, WINDOW), gram_hashes(again, WINDOW, 1)
                 at, owner = [], []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     if b - a >= WINDOW:
@@ -188,6 +193,8 @@ def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     holders = index.all().join(shared.distinct(), "fp", "left_semi").groupBy("doc").agg(F.collect_set("fp").alias("fps"))
     suspects = reps.join(holders, "doc").select("doc", "th", "text", "fps")
     found = staged(_windows(suspects), "windows")
+    for path in index.paths:
+        discard(spark, path)
     best = found.where("not later").withColumn("best", F.min("doc").over(Window.partitionBy("h1", "h2")))
     gone = best.where("doc > best").select("doc", "th", "pos").unionByName(found.where("later").select("doc", "th", "pos"))
     starts = staged(gone.groupBy("doc", "th").agg(F.collect_set("pos").alias("starts")), "starts")
