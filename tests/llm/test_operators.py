@@ -213,6 +213,22 @@ def test_neighbours(spark):
     assert got[100] == {400, 401, 402, 403, 404}
 
 
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((300, 16)).round(3)
+    data = [(i + 1, [float(x) for x in v]) for i, v in enumerate(m)]
+    data += [(100, [x * 50 for x in data[99][1]])] * 13 + [(400 + i, data[99][1]) for i in range(7)] + [(100, data[99][1])] * 8
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r.vec_id, r.score) for r in search.exact_top_k(df).where("query_id = 100").orderBy("rank").collect()]
+    whole = [(i, np.floor(1024 * np.array(v)).astype(np.int64)) for i, v in data]
+    queries = {tuple(u) for i, u in whole if i == 100}
+    want = sorted((-int(np.array(q) @ u), i) for q in queries for i, u in whole if i != 100)[:10]
+    assert got == [(i, -s) for s, i in want]
+    once = spark.createDataFrame([r for r in data if max(map(abs, r[1])) < 20], df.schema).coalesce(1)
+    near = [r.vec_id for r in search.approximate_neighbours(once).where("query_id = 100").orderBy("rank").collect()]
+    assert near == [400, 401, 402, 403, 404]
+
+
 def test_html(spark):
     page = (
         '<html><head><title>t</title><script>var a="<p>x</p>";</script></head><body><nav><a href=/>home</a></nav><!-- <p>no</p> -->'

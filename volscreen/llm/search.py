@@ -190,11 +190,12 @@ def _visit_buckets(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best) ->
     rid, unit = rid[ok], unit[ok]
     if not len(rid):
         return
-    # equal vectors stand in one place of the index: k + 1 smallest ids of each are all that can be asked for
+    # equal vectors stand in one place of the index: k smallest other ids of each are all that can be asked for
     order = np.lexsort((rid, *unit.T[:4]))
     same = np.concatenate([[False], (unit[order][1:] == unit[order][:-1]).all(axis=1)])
     starts = np.flatnonzero(~same)
-    members = np.split(rid[order], starts[1:])
+    rid = rid[order]
+    members, place = np.split(rid, starts[1:]), np.cumsum(~same) - 1
     unit = unit[order][starts]
     a, b = planes(unit.shape[1])
     code = codes(np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, HASHES))
@@ -207,19 +208,21 @@ def _visit_buckets(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best) ->
             lo, hi = edges[t][0][q], edges[t][1][q]
             for i in np.flatnonzero(hi > lo):
                 hit[by_table[t][lo[i] : hi[i]]] = True
+        # a place that only rows of the query's id share offers nothing
+        mine, count = np.unique(place[rid == qid[q]], return_counts=True)
+        hit[[p for p, c in zip(mine, count, strict=True) if c == len(members[p])]] = False
         found = np.flatnonzero(hit)
         if not len(found):
             continue
         near = (unit[found] * q_unit[q]).sum(axis=1)
-        if len(found) > best.k + 1:
-            enough = np.argpartition(-near, best.k)[: best.k + 1]
+        if len(found) > best.k:
+            enough = np.argpartition(-near, best.k - 1)[: best.k]
             least = near[enough].min()
             at = np.flatnonzero(near >= least)
             found, near = found[at], near[at]
-        ids = [members[f][: best.k + 1] for f in found]
-        scores, ids = np.repeat(near, [len(i) for i in ids]), np.concatenate(ids)
-        other = ids != qid[q]
-        best.add(q, scores[other], ids[other])
+        held = {*mine.tolist()}
+        ids = [(members[f][members[f] != qid[q]] if f in held else members[f])[: best.k] for f in found.tolist()]
+        best.add(q, np.repeat(near, [len(i) for i in ids]), np.concatenate(ids))
 
 
 def _prepare_probes(m: np.ndarray) -> tuple:
@@ -254,15 +257,16 @@ def _branch_and_bound(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best)
     columns = np.ascontiguousarray(m.T)  # vertical layout
     rest = _prepare_exact(m)[1]
     for q in range(len(queries)):
-        alive, score = None, np.zeros(len(rid))
+        own = rid == qid[q]  # rows of the query's id are no candidates, nor may they bound others
+        alive = np.flatnonzero(~own) if own.any() else None
+        score = np.zeros(len(rid) if alive is None else len(alive))
         for j, d in enumerate(range(0, len(columns), DIMENSIONS)):
             part = columns[d : d + DIMENSIONS] if alive is None else columns[d : d + DIMENSIONS, alive]
             score = score + queries[q, d : d + DIMENSIONS] @ part
             left = q_rest[j + 1, q] * (rest[j + 1] if alive is None else rest[j + 1][alive]) * (1 + 1e-9)
             least = best.floor(q)
-            own = best.k + 1  # the query's own row may be among the leaders
-            if len(score) > own:
-                sure = np.partition(score - left, len(score) - own)[len(score) - own]
+            if len(score) > best.k:
+                sure = np.partition(score - left, len(score) - best.k)[len(score) - best.k]
                 least = sure if least is None else max(least, sure)
             if least is None:
                 continue
@@ -270,9 +274,7 @@ def _branch_and_bound(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best)
             if len(keep) < 0.7 * len(score):
                 alive = keep if alive is None else alive[keep]
                 score = score[keep]
-        ids = rid if alive is None else rid[alive]
-        other = ids != qid[q]
-        best.add(q, np.rint(score[other]).astype(np.int64), ids[other])
+        best.add(q, np.rint(score).astype(np.int64), rid if alive is None else rid[alive])
 
 
 def exact_top_k(rows: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 1024, id_col="vec_id", vec_col="embedding") -> DataFrame:
