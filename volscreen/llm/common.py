@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,16 +42,48 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` and read again; the shuffle files of the write go when it ends."""
-    spark = df.sparkSession
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a write go when it ends."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again; the shuffle files of the write go when it ends."""
+    with tidy_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, path: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written to ``path`` in buckets of ``key``, sorted by it: equal joins on ``key`` do not shuffle it again.
+
+    The catalogue is used for the writing alone: no table is left in it.
+    """
+    spark, n = df.sparkSession, buckets or partitions(df.sparkSession)
+    name = f"staged_{uuid.uuid4().hex}"
+    with tidy_shuffles(spark):
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each changed where ``columns`` has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +112,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd multipliers by salt: of a word's bytes and of a sequence's words.
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _GRAM = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+#: Words of more bytes have a digest.
+SHORT = 48
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -105,9 +142,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of many texts at once; ``lower`` folds A-Z, ``salt`` (0, 1) gives other hashes."""
+    """64-bit hashes of the words of many texts at once; ``lower`` folds A-Z, ``salt`` (0, 1) gives other hashes.
+
+    A polynomial over the bytes of words of at most SHORT bytes.  Long enough words can be built that
+    collide under any polynomial modulo 2**64, so longer ones have a keyed BLAKE2b digest.
+    """
 
     def __init__(self, lower: bool = False, salt: int = 0):
+        self.lower, self.key = lower, b"words-%d" % salt
         self.base = _BASE[salt]
         self.table = _byte_table(lower, self.base)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
@@ -128,8 +170,13 @@ class WordHasher:
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.table[buf] * self.up[: len(buf)], out=sums[1:])
         h = (sums[ends] - sums[starts]) * self.down[starts] if len(starts) else np.zeros(0, np.uint64)
+        h = mix64(h + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > SHORT).tolist():
+            word = buf[starts[i] : ends[i]].tobytes()
+            digest = hashlib.blake2b(word.lower() if self.lower else word, digest_size=8, key=self.key).digest()
+            h[i] = int.from_bytes(digest, "little")
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        return mix64(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+        return h, np.searchsorted(starts, offsets)
 
 
 def gram_hashes(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

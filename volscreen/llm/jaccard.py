@@ -2,10 +2,11 @@
 
 Texts of equal shingle sets are one representative.  Two sets of at least 75 % similarity share a
 token in the prefixes of both under every global order.  The first order (common tokens last) gives
-the candidates by an equal join on prefix tokens; the prefixes under the other orders are
-intersected inside verification, once both texts are at hand.  A pass over one candidate a set settles
-large groups of near copies first, so the full pass joins only sets that are not yet in one component:
-the components are complete, but links inside a component are not listed.
+the candidates by an equal join on prefix tokens, one row for each run of common tokens; the other
+orders travel as a sketch of each set and are intersected before any text is fetched; what passes
+them all is verified on whole texts.  A pass over one candidate a set settles large groups of near
+copies first, so the full pass joins only sets that are not yet in one component: the components are
+complete, but links inside a component are not listed.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, discard, gram_hashes, mix64, staged, staged_path, stored, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, staged, staged_path, stored, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
-#: Global orders besides the first.
-ORDERS = 2
-#: Tokens that stand last in the first order: the most common ones, at most so many.
-COMMON = 65536
+#: Hash orders besides the first, and hash classes of tokens (each stands for an order that puts it first).
+ORDERS, CLASSES = 2, 128
+#: Tokens that stand last in the first order: the most common ones, at most so many (16 bytes each).
+COMMON = 1 << 19
 #: Further passes of one candidate a set, over groups of at least LARGE sets.
 CENTRES, LARGE = 1, 16
 
@@ -56,16 +57,40 @@ def prefix(tokens: np.ndarray, order: int, common: np.ndarray, rank: np.ndarray)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
+    if not len(a) or not len(b):
         return False
-    none = np.zeros(0, np.uint64)
-    for order in range(1, ORDERS + 1):
-        if not len(np.intersect1d(prefix(a, order, none, none), prefix(b, order, none, none), assume_unique=True)):
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """What the further orders say of a set: 32 bits of each prefix token under the ORDERS hash orders, then the
+    sizes of the CLASSES hash classes (under the order that puts a class first, its tokens come first)."""
+    none = np.zeros(0, np.uint64)
+    parts = [np.unique(prefix(tokens, o, none, none).astype(np.uint32)) for o in range(1, ORDERS + 1)]
+    sizes = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES).astype(np.uint32)
+    return np.concatenate([np.array([len(tokens), *map(len, parts)], np.uint32), sizes, *parts]).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes) -> bool:
+    """False only if some order shows that the sets cannot be similar.
+
+    They share a prefix token under every hash order, and under the order of a class no more of its
+    tokens than the smaller of their two classes.
+    """
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    body = 1 + ORDERS
+    if (NUM + DEN) * int(np.minimum(x[body : body + CLASSES], y[body : body + CLASSES]).sum()) < NUM * (int(x[0]) + int(y[0])):
+        return False
+    i = j = body + CLASSES
+    for o in range(1, ORDERS + 1):
+        m, n = int(x[o]), int(y[o])
+        if not len(np.intersect1d(x[i : i + m], y[j : j + n], assume_unique=True)):
+            return False
+        i, j = i + m, j + n
+    return True
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     """row, hash of the text, n, sig for every row."""
 
@@ -89,29 +114,44 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc long, th binary, n long, sig binary")
 
 
-def _common(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common tokens (sorted) and their ranks by count.  Any choice gives right results."""
+def _counts_and_sketches(texts: DataFrame) -> DataFrame:
+    """(tok, c) for tokens that a block of texts holds at least thrice, and (doc, sk) for every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            docs, texts = batch.column(0), as_bytes(batch.column(1))
             for lo, hi in text_blocks(texts, 1 << 24):
                 some = texts[lo:hi]  # counted together, hashed a small block at a time
                 sets = [s for x, y in text_blocks(some) for s in shingle_sets(hasher, some[x:y])]
                 tok, count = np.unique(np.concatenate(sets), return_counts=True)
                 often = count >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(tok[often].view(np.int64)), pa.array(count[often])], ["tok", "c"])
+                k, n = int(often.sum()), hi - lo
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([pa.array(tok[often].view(np.int64)), pa.nulls(n, pa.int64())]),
+                        pa.concat_arrays([pa.array(count[often]), pa.nulls(n, pa.int64())]),
+                        pa.concat_arrays([pa.nulls(k, pa.int64()), docs.slice(lo, n)]),
+                        pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]),
+                    ],
+                    ["tok", "c", "doc", "sk"],
+                )
+
+    return texts.select("doc", "text").mapInArrow(tidy(run), "tok long, c long, doc long, sk binary")
+
 
-    counts = reps.select("doc", "text").mapInArrow(tidy(run), "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "tok").limit(COMMON).collect()  # at most COMMON rows
-    tok = np.array([r.tok for r in top], np.int64).view(np.uint64)
-    rank = np.array([len(top) - i for i in range(len(top))], np.uint64)
+def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common tokens (sorted) and their ranks by count.  Any choice gives right results."""
+    best = counts.groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "tok").limit(COMMON).toArrow()  # at most COMMON rows
+    tok = best.column("tok").to_numpy().view(np.uint64)
+    rank = np.arange(len(tok), 0, -1).astype(np.uint64)
     order = np.argsort(tok)
     return tok[order], rank[order]
 
 
-def _prefixes(reps: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """tok, doc, n, pos, prev: every prefix token under the first order, its place and the token before it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in batches:
@@ -120,16 +160,31 @@ def _prefixes(reps: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
                 sets = shingle_sets(hasher, texts[lo:hi])
                 firsts = [prefix(s, 0, common, rank) for s in sets]
                 k = [len(f) for f in firsts]
+                tok, pos = np.concatenate(firsts).view(np.int64), np.concatenate([np.arange(x) for x in k]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(docs[lo:hi], k)), pa.array(np.repeat([len(s) for s in sets], k).astype(np.int32)), pa.array(np.concatenate([np.arange(x) for x in k]).astype(np.int32))],
-                    ["tok", "doc", "n", "pos"],
-                )
+                    [
+                        pa.array(tok), pa.array(np.repeat(docs[lo:hi], k)), pa.array(np.repeat([len(s) for s in sets], k).astype(np.int32)),
+                        pa.array(pos), pa.array(np.roll(tok, 1), mask=pos == 0),
+                    ],
+                    ["tok", "doc", "n", "pos", "prev"],
+                )
+
+    return texts.select("doc", "text").mapInArrow(tidy(run), "tok long, doc long, n int, pos int, prev long")
 
-    return reps.select("doc", "text").mapInArrow(tidy(run), "tok long, doc long, n int, pos int")
 
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """a, b, x, y: the ``column`` of both; ``table`` lies in buckets of doc and is not shuffled."""
+    left = pairs.join(table.select(F.col("doc").alias("a"), F.col(column).alias("x")), "a")
+    return left.join(table.select(F.col("doc").alias("b"), F.col(column).alias("y")), "b").select("a", "b", "x", "y")
 
-def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+
+def _verify(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: all orders are intersected first, texts are fetched for what is left."""
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_be_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
@@ -141,12 +196,8 @@ def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 ok[lo:hi] = [similar(p, q) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    both = (
-        pairs.join(reps.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-        .join(reps.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
-    )
-    return both.mapInArrow(tidy(run), "a long, b long")
+    left = staged(_both(pairs, sketches, "sk").mapInArrow(tidy(filtered), "a long, b long"), "candidates")
+    return _both(left, texts, "text").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,7 +205,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps, each written to the shared folder, until nothing moves.
     """
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark, sizes, held = links.sparkSession, [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")], []
+
+    def kept(rows: DataFrame) -> tuple:
+        held.append(staged_path(spark, "edges"))
+        edges = stored(rows, held[-1])
+        for path in held[:-1]:
+            discard(spark, path)
+        del held[:-1]
+        return edges, edges.agg(*sizes).first()
+
+    edges, state = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -164,10 +225,9 @@ def components(links: DataFrame) -> DataFrame:
             large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
             .unionByName(small_low.select("u", F.col("m").alias("v"))).distinct()
         )
-        after = staged(small, "edges")
-        moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not moved:
+        before = state
+        edges, state = kept(small)
+        if state == before:  # the steps are deterministic: equal edge sets stay so
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
@@ -204,16 +264,18 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     groups = staged(groups.withColumn("key", F.monotonically_increasing_id()), "reps")
     picked = sets.where("n > 0").select("doc", "sig").join(groups.select("sig", "rep"), "sig")
     texts = rows.where("text IS NOT NULL").join(groups.select(F.col("rep").alias("doc"), "th", "key"), ["doc", "th"])
-    texts = staged(texts.dropDuplicates(["doc", "th"]).select(F.col("key").alias("doc"), "text"), "rep-texts")
-    common, rank = _common(texts)
-    held = staged_path(spark, "prefixes")
-    tokens = stored(_prefixes(texts, common, rank), held)
-    several = tokens.groupBy("tok").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("tok", "a")
-    shared = staged(tokens.join(several, "tok"), "shared-prefixes")
+    texts = bucketed(texts.dropDuplicates(["doc", "th"]).select(F.col("key").alias("doc"), "text"), "doc", staged_path(spark, "rep-texts"))
+    held = staged_path(spark, "counts")
+    counted = stored(_counts_and_sketches(texts), held)
+    common, rank = _common(counted.where("tok IS NOT NULL"))
+    sketches = bucketed(counted.where("tok IS NULL").select("doc", "sk"), "doc", staged_path(spark, "sketches"))
     discard(spark, held)
+    token = Window.partitionBy("tok")
+    shared = _prefixes(texts, common, rank).withColumns({"a": F.min("doc").over(token), "z": F.max("doc").over(token)})
+    shared = staged(shared.where("a < z").drop("z"), "shared-prefixes")
     # one candidate for each set: the smallest set it shares a prefix token with
     star = shared.where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(_verify(star, texts), "links-star")
+    links = staged(_verify(star, sketches, texts), "links-star")
     for centre in range(CENTRES):
         told = _told(shared, components(links))
         # in large groups not yet of one component: one more candidate a set, by another centre
@@ -224,14 +286,16 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
         met = told.join(large, "tok").where("comp <> c.comp").where(_reach("n", "c.n", "pos", "c.pos"))
         star = met.groupBy(F.col("doc").alias("x")).agg(F.min_by("c.doc", F.xxhash64("c.doc", F.lit(centre))).alias("y"))
         star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.unionByName(staged(_verify(star, texts), "links-star"))
+        links = links.unionByName(staged(_verify(star, sketches, texts), "links-star"))
     told = staged(_told(shared, components(links)), "told")
     mixed = told.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
     open_ = told.join(mixed, "tok")
-    x, y = (open_.select("tok", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "comp")]) for side in "ab")
+    x, y = (open_.select("tok", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "prev", "comp")]) for side in "ab")
     pairs = x.join(y, "tok").where("doc_a < doc_b AND comp_a <> comp_b").where(_reach("n_a", "n_b", "pos_a", "pos_b"))
+    # a pair whose tokens before are equal has met at those: one row for each run of common tokens, the first included
+    pairs = pairs.where("coalesce(prev_a <> prev_b, true)")
     pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
-    links = links.unionByName(staged(_verify(pairs, texts), "links"))
+    links = links.unionByName(staged(_verify(pairs, sketches, texts), "links"))
     for side in "ab":
         links = links.join(groups.select(F.col("key").alias(side), F.col("rep").alias(f"rep_{side}")), side)
     links = links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
