@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, staged, staged_path, stored, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Hash orders besides the first, and hash classes of tokens (each stands for an order that puts it first).
 ORDERS, CLASSES = 2, 128
 #: Tokens that stand last in the first order: the most common ones, at most so many (16 bytes each).
 COMMON = 1 << 19
+#: Tokens counted in one group.
+BUCKET = 1 << 22
 #: Further passes of one candidate a set, over groups of at least LARGE sets.
 CENTRES, LARGE = 1, 16
 
@@ -46,12 +48,20 @@ def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def prefix(tokens: np.ndarray, order: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first tokens of a set under a global order (0: common tokens last, by rising count)."""
+def count_keys(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket (rising with the token) and 32 further bits, under which tokens are counted."""
+    bucket = ((tokens >> np.uint64(44)) * np.uint64(buckets)) >> np.uint64(20)
+    return bucket, (tokens >> np.uint64(12)).astype(np.uint32)
+
+
+def prefix(tokens: np.ndarray, order: int, common: np.ndarray, rank: np.ndarray, buckets: int = 1) -> np.ndarray:
+    """The first tokens of a set under a global order (0: ``common`` count keys last, by rising count)."""
     key = mix64(tokens ^ np.uint64((order + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     if order == 0 and len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        last = common[at] == tokens
+        bucket, bits = count_keys(tokens, buckets)
+        mine = bucket << np.uint64(32) | bits
+        at = np.minimum(np.searchsorted(common, mine), len(common) - 1)
+        last = common[at] == mine
         key = np.where(last, np.uint64(1 << 63) + rank[at], key >> np.uint64(1))
     return tokens[np.argsort(key, kind="stable")[: prefix_size(len(tokens))]]
 
@@ -114,8 +124,12 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc long, th binary, n long, sig binary")
 
 
-def _counts_and_sketches(texts: DataFrame) -> DataFrame:
-    """(tok, c) for tokens that a block of texts holds at least thrice, and (doc, sk) for every text."""
+def _tokens_and_sketches(texts: DataFrame, buckets: int) -> DataFrame:
+    """(doc, sk) for every text; (bucket, once, often, counts) for the tokens of every block of texts.
+
+    Tokens travel as packed arrays of their 32 bits: those that the block holds once, then those that
+    it holds more often, with counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
@@ -125,31 +139,48 @@ def _counts_and_sketches(texts: DataFrame) -> DataFrame:
                 some = texts[lo:hi]  # counted together, hashed a small block at a time
                 sets = [s for x, y in text_blocks(some) for s in shingle_sets(hasher, some[x:y])]
                 tok, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= 3
-                k, n = int(often.sum()), hi - lo
+                bucket, bits = count_keys(tok, buckets)
+                cut = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63), append=np.uint64(1 << 63)))
+                packed = []
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    one = count[x:y] == 1
+                    packed.append((int(bucket[x]), bits[x:y][one].tobytes(), bits[x:y][~one].tobytes(), count[x:y][~one].astype(np.uint32).tobytes()))
+                k, n = len(packed), hi - lo
+                columns = list(zip(*packed, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(tok[often].view(np.int64)), pa.nulls(n, pa.int64())]),
-                        pa.concat_arrays([pa.array(count[often]), pa.nulls(n, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(k, pa.int64()), docs.slice(lo, n)]),
-                        pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())]),
+                        pa.concat_arrays([docs.slice(lo, n), pa.nulls(k, pa.int64())]),
+                        pa.concat_arrays([pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary())]),
+                        *(pa.concat_arrays([pa.nulls(n, t), pa.array(c, t)]) for t, c in zip((pa.int64(), *[pa.binary()] * 3), columns, strict=True)),
                     ],
-                    ["tok", "c", "doc", "sk"],
+                    ["doc", "sk", "bucket", "once", "often", "counts"],
                 )
 
-    return texts.select("doc", "text").mapInArrow(tidy(run), "tok long, c long, doc long, sk binary")
+    return texts.select("doc", "text").mapInArrow(tidy(run), "doc long, sk binary, bucket long, once binary, often binary, counts binary")
+
+
+def _common(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (sorted) and ranks of the COMMON most common tokens, by their counts over all texts.
+
+    A bucket holds about BUCKET tokens, so that its group fits a task.  Any choice gives right results.
+    """
 
+    def run(group: pa.Table) -> pa.Table:
+        arrays = [np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(c).to_pylist()]) for c in ("once", "often", "counts")]
+        bits, at = np.unique(np.concatenate(arrays[:2]), return_inverse=True)
+        count = np.bincount(at[: len(arrays[0])], minlength=len(bits)) + np.bincount(at[len(arrays[0]) :], weights=arrays[2], minlength=len(bits)).astype(np.int64)
+        keep = count >= 3
+        key = bits[keep].astype(np.int64) | group.column("bucket")[0].as_py() << 32
+        return pa.table({"key": key, "c": count[keep]})
 
-def _common(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most common tokens (sorted) and their ranks by count.  Any choice gives right results."""
-    best = counts.groupBy("tok").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "tok").limit(COMMON).toArrow()  # at most COMMON rows
-    tok = best.column("tok").to_numpy().view(np.uint64)
-    rank = np.arange(len(tok), 0, -1).astype(np.uint64)
-    order = np.argsort(tok)
-    return tok[order], rank[order]
+    counts = packed.groupBy("bucket").applyInArrow(run, "key long, c long")
+    best = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow()  # at most COMMON rows
+    key = best.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], np.arange(len(key), 0, -1).astype(np.uint64)[order]
 
 
-def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray, buckets: int) -> DataFrame:
     """tok, doc, n, pos, prev: every prefix token under the first order, its place and the token before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +189,7 @@ def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFra
             docs, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
             for lo, hi in text_blocks(texts):
                 sets = shingle_sets(hasher, texts[lo:hi])
-                firsts = [prefix(s, 0, common, rank) for s in sets]
+                firsts = [prefix(s, 0, common, rank, buckets) for s in sets]
                 k = [len(f) for f in firsts]
                 tok, pos = np.concatenate(firsts).view(np.int64), np.concatenate([np.arange(x) for x in k]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -266,12 +297,13 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     texts = rows.where("text IS NOT NULL").join(groups.select(F.col("rep").alias("doc"), "th", "key"), ["doc", "th"])
     texts = bucketed(texts.dropDuplicates(["doc", "th"]).select(F.col("key").alias("doc"), "text"), "doc", staged_path(spark, "rep-texts"))
     held = staged_path(spark, "counts")
-    counted = stored(_counts_and_sketches(texts), held)
-    common, rank = _common(counted.where("tok IS NOT NULL"))
-    sketches = bucketed(counted.where("tok IS NULL").select("doc", "sk"), "doc", staged_path(spark, "sketches"))
+    buckets = max(partitions(spark), -(-int(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    counted = stored(_tokens_and_sketches(texts, buckets), held)
+    common, rank = _common(counted.where("bucket IS NOT NULL").select("bucket", "once", "often", "counts"))
+    sketches = bucketed(counted.where("bucket IS NULL").select("doc", "sk"), "doc", staged_path(spark, "sketches"))
     discard(spark, held)
     token = Window.partitionBy("tok")
-    shared = _prefixes(texts, common, rank).withColumns({"a": F.min("doc").over(token), "z": F.max("doc").over(token)})
+    shared = _prefixes(texts, common, rank, buckets).withColumns({"a": F.min("doc").over(token), "z": F.max("doc").over(token)})
     shared = staged(shared.where("a < z").drop("z"), "shared-prefixes")
     # one candidate for each set: the smallest set it shares a prefix token with
     star = shared.where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
