@@ -63,14 +63,39 @@ def test_window_hashes_are_two():
     assert not set(first) & set(second)
 
 
-def test_index_joins_compacted_runs(spark):
-    index = substrings.FingerprintIndex(spark)
+def test_index_joins_compacted_runs(spark, tmp_path):
+    index = substrings.FingerprintIndex(spark, f"file://{tmp_path}/i")
     batches = [[(1, 0), (2, 0), (9, 0)], [(1, 5), (3, 5)], [(2, 7), (3, 7), (4, 7)]]
-    shared = [sorted(r.fp for r in index.add(spark.createDataFrame(b, "fp long, doc long")).collect()) for b in batches]
+    shared = [sorted(r.fp for r in index.append(spark.createDataFrame(b, "fp long, doc long"))[0].collect()) for b in batches]
     assert shared == [[], [1], [2, 3]]
     # the first two runs became one before the third batch was joined
-    assert [r.count() for r in index.runs] == [5, 3]
-    assert sorted(map(tuple, index.all().collect())) == sorted(x for b in batches for x in b)
+    assert [r.count() for *_, r in index.runs] == [5, 3]
+    assert sorted(tuple(x) for *_, r in index.runs for x in r.collect()) == sorted(x for b in batches for x in b)
+    assert len(list((tmp_path / "i").iterdir())) == 2 and not spark.catalog.listTables()
+
+
+def test_index_goes_on_in_a_second_session(spark, docs, rows, tmp_path):
+    root = f"file://{tmp_path}/days"
+    want = {r.doc_id: r for r in substrings.dedup_substrings(docs).collect()}
+    days = [docs.where("doc_id < 9"), docs.where("doc_id >= 9")]
+    got = [r for day in days for r in substrings.dedup_substrings(day, index=substrings.FingerprintIndex(spark, root)).collect()]
+    assert {r.doc_id: r for r in got} == want and len(got) == len(rows)
+
+
+def thue_morse():
+    w = "a"
+    for _ in range(10):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    one, two = thue_morse()
+    rest = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.dedup_substrings(docs).collect()] == [0, 0]
+    short = spark.createDataFrame([(1, f"{one} a b c d"), (2, f"{two} a b c d")], "doc_id long, text string")
+    assert sorted(r.component_id for r in jaccard.jaccard_components(short).collect()) == [1, 2]
 
 
 def test_lines(docs, rows):

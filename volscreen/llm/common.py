@@ -69,11 +69,34 @@ def bucketed(df: DataFrame, key: str, path: str, buckets: int | None = None) ->
     name = f"staged_{uuid.uuid4().hex}"
     with tidy_shuffles(spark):
         df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return _taken_off(spark, name)
+
+
+def reopened(spark: SparkSession, path: str, columns: str, key: str, buckets: int) -> DataFrame:
+    """A table that ``bucketed`` wrote, in this session or an earlier one."""
+    name = f"staged_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return _taken_off(spark, name)
+
+
+def _taken_off(spark: SparkSession, name: str) -> DataFrame:
+    """The external table as a DataFrame; the catalogue forgets it, the files stay."""
     kept = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return kept
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under ``path`` whose writing has ended, sorted."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n.getName() for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """``names``, each changed where ``columns`` has it (in any case)."""
     taken = {c.lower() for c in columns}

@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": lines.OP1_SQL,
     "op4_top_k": search.OP4_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
+    "op6_jaccard": jaccard.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
