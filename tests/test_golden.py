@@ -11,11 +11,11 @@ from volscreen.operators.models import forecasts, race_models
 
 # QLIKE, MSE, MAE by model.
 GOLDEN = {
-    "lasso": (-6.228746, 6.8672e-05, 0.0063859),
-    "ridge": (-6.224242, 7.0945e-05, 0.0064008),
-    "ou_rv": (-6.211374, 7.0220e-05, 0.0064803),
-    "har_rv_ols": (-6.182927, 7.6612e-05, 0.0067941),
-    "ewma_recursive": (-0.539196, 3.1712e-04, 0.0153699),
+    "lasso": (-6.22874604922422, 6.867225568920356e-05, 0.0063858772445144684),
+    "ridge": (-6.224242382692198, 7.094530158885973e-05, 0.006400833608994115),
+    "ou_rv": (-6.211374442764873, 7.021991150348993e-05, 0.00648031758027106),
+    "har_rv_ols": (-6.1829265991347135, 7.661192683582918e-05, 0.006794115798024871),
+    "ewma_recursive": (-0.5391960696346646, 0.0003171199537387807, 0.015369865254858079),
 }
 P_VALUES = {"lasso": (0.0475, 0.037417), "ridge": (0.0125, 0.030257), "ou_rv": (0.366, 0.345589)}
 
@@ -40,7 +40,7 @@ def test_golden(spark):
     rows = {x.model: x for x in summary_with_inference(panel).collect()}
     assert set(rows) == set(GOLDEN)
     for model, want in GOLDEN.items():
-        assert (rows[model].qlike, rows[model].mse, rows[model].mae) == pytest.approx(want, rel=2e-5)
+        assert (rows[model].qlike, rows[model].mse, rows[model].mae) == pytest.approx(want, rel=1e-6)
     for model, (p, hln) in P_VALUES.items():
         assert rows[model].p_value == pytest.approx(p, abs=1e-9)
         assert rows[model].hln_p_value == pytest.approx(hln, rel=1e-4)

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from volscreen.functions import features as fx
 
 
+#: Days of a series that is broadcast; 200 years of sessions.
+BROADCAST_DAYS = 50_000
+
+
 def asof(primary: DataFrame, aux: DataFrame, columns: list[str]) -> DataFrame:
     """Backward as-of left join of one dated series onto every symbol's dates; exact dates match.
 
     The series' dates are turned into [date, next date) ranges and each month of a range into a key,
-    so the join is an equal join on the month with a range check.
+    so the join is an equal join on the month with a range check.  A series of at most BROADCAST_DAYS days
+    is broadcast, so that the rows of all symbols of a month need not meet in one task.
     """
     nxt = F.lead("date").over(Window.partitionBy("series").orderBy("date"))
     horizon = primary.agg(F.max("date").alias("last"))
@@ -22,6 +27,8 @@ def asof(primary: DataFrame, aux: DataFrame, columns: list[str]) -> DataFrame:
         .withColumn("month", F.explode(F.sequence(F.trunc("date", "month"), F.trunc(F.date_sub("till", 1), "month"), F.expr("interval 1 month"))))
         .select(F.col("date").alias("from"), "till", "month", *columns)
     )
+    if aux.select("date").limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS:
+        spans = F.broadcast(spans)  # a row a day and month of one series, at most BROADCAST_DAYS
     left = primary.withColumn("month", F.trunc("date", "month"))
     met = left.alias("p").join(
         spans.alias("s"), (F.col("p.month") == F.col("s.month")) & (F.col("p.date") >= F.col("s.from")) & (F.col("p.date") < F.col("s.till")), "left"

@@ -54,7 +54,8 @@ def bar_report(bars: DataFrame) -> DataFrame:
 def normalize_bars(raw: DataFrame, symbol: str | None = None, date_col: str = "date") -> DataFrame:
     """Typed bars without null rows; raises BarError for what cannot be mended.
 
-    Duplicate sessions are an error before null rows are dropped; dates are floored to UTC days.
+    Duplicate sessions are an error before null rows are dropped; dates are floored to UTC days.  All
+    checks are one job over the input.
     """
     df = normalize_columns(raw)
     missing = [c for c in (*REQUIRED, date_col) if c not in df.columns]
@@ -67,17 +68,23 @@ def normalize_bars(raw: DataFrame, symbol: str | None = None, date_col: str = "d
         (F.col(date_col).isNotNull() & day.isNull()).alias("bad_date"),
         F.greatest(*[(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).cast("int") for c in REQUIRED]).alias("bad_number"),
     )
-    checks = typed.agg(F.count_if("bad_date").alias("d"), F.coalesce(F.sum("bad_number"), F.lit(0)).alias("n")).first()
-    if checks.d:
-        raise BarError(f"{checks.d} dates cannot be read")
-    if checks.n:
-        raise BarError(f"{checks.n} rows hold text that is no number")
     bars = typed.drop("bad_date", "bad_number")
-    clean = bars.na.drop(subset=[*REQUIRED, "date"])
-    report = bar_report(bars).agg(F.sum("n_duplicate_days").alias("dup")).first()
-    if report.dup:
-        raise BarError(f"duplicate sessions: {report.dup}")
-    broken = clean.agg(*[F.count_if(c).alias(k) for k, c in bound_breaks().items()]).first().asDict()
+    whole = F.lit(True)
+    for c in (*REQUIRED, "date"):
+        whole = whole & F.col(c).isNotNull()
+    days = typed.groupBy("symbol", "date").agg(
+        F.count("*").alias("n"), F.count_if("bad_date").alias("bad_date"), F.sum("bad_number").alias("bad_number"),
+        *[F.count_if(whole & c).alias(k) for k, c in bound_breaks().items()],
+    )
+    counts = ("bad_date", "bad_number", *bound_breaks())
+    found = days.agg(F.count_if(F.col("n") > 1).alias("twice"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).first()
+    if found.bad_date:
+        raise BarError(f"{found.bad_date} dates cannot be read")
+    if found.bad_number:
+        raise BarError(f"{found.bad_number} rows hold text that is no number")
+    if found.twice:
+        raise BarError(f"duplicate sessions: {found.twice}")
+    broken = {k: found[k] for k in bound_breaks()}
     if any(broken.values()):
         raise BarError(f"bounds broken: {broken}")
-    return clean
+    return bars.na.drop(subset=[*REQUIRED, "date"])

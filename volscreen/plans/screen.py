@@ -102,15 +102,29 @@ def baseline_experiment(matrix: DataFrame, horizon: int = 5, n_splits: int = 5,
     return {"metrics": ev.summarize(metrics), "fold_metrics": metrics, "folds": fd.fold_sizes(folds)}
 
 
-def screen_tables(matrix: DataFrame, options: Screen = Screen()) -> dict[str, DataFrame]:
-    """All tables of a screen, by name.  Every model is fitted once a fold: the panel feeds all tables."""
+class Tables(dict):
+    """Tables by name; ``release`` frees what they share."""
+
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+
+
+def screen_tables(matrix: DataFrame, options: Screen = Screen()) -> Tables:
+    """All tables of a screen, by name.  Every model is fitted once a fold: the panel feeds all tables.
+
+    Panel, summary and importance are persisted until ``release``.
+    """
     o = options.resolved()
     folds = fd.expanding_folds(matrix, o.n_splits, o.embargo)
-    panel = md.forecasts(folds, md.race_models(matrix.columns), o.horizon).persist()
-    summary = ev.summary_with_inference(panel, o.horizon, o.block, o.alpha, o.resamples, o.seed)
+    models = md.race_models(matrix.columns)
+    panel = md.forecasts(folds, models, o.horizon).persist()
+    summary = ev.summary_with_inference(panel, o.horizon, o.block, o.alpha, o.resamples, o.seed).persist()
     thin = ev.non_overlapping(ev.differentials(panel), o.horizon)
-    importance = ev.permutation_importance(folds, horizon=o.horizon, repeats=o.importance_repeats, seed=o.seed, cap=o.importance_cap)
-    tables = {
+    importance = ev.permutation_importance(folds, horizon=o.horizon, repeats=o.importance_repeats, seed=o.seed, cap=o.importance_cap).persist()
+    tables = Tables({
         "metrics": summary,
         "fold_metrics": ev.fold_metrics(panel),
         "folds": fd.fold_sizes(folds),
@@ -120,7 +134,9 @@ def screen_tables(matrix: DataFrame, options: Screen = Screen()) -> dict[str, Da
         "oos_losses": ev.with_losses(panel),
         "inference": summary.where(F.col("model") != md.BASELINE).drop(*ev.METRICS),
         "inference_sensitivity": ev.bootstrap(thin, o.block, o.resamples, o.alpha, o.seed),
-    }
+        "fit_status": md.fit_status(folds, models, o.horizon),
+    })
+    tables.held = (panel, summary, importance)
     if o.shapley:
         tables["shapley_importance"] = rf.forest_importance(folds, o.horizon)
     return tables
@@ -129,7 +145,11 @@ def screen_tables(matrix: DataFrame, options: Screen = Screen()) -> dict[str, Da
 def screen(matrix: DataFrame, artifacts: store.ArtifactStore, experiment: str, options: Screen = Screen()) -> dict[str, list[dict]]:
     """Run a screen, keep its tables and one memo a symbol, and return the rows of the tables."""
     o = options.resolved()
-    rows = {name: store.records(t) for name, t in screen_tables(matrix, o).items()}  # results, not the input
+    if matrix.isEmpty():
+        raise ValueError("the feature matrix is empty")
+    tables = screen_tables(matrix, o)
+    rows = {name: store.records(t) for name, t in tables.items()}  # results, not the input
+    tables.release()
     for name, table in rows.items():
         artifacts.write_json(experiment, name, table)
     meta = {k: getattr(o, k) for k in o.__dataclass_fields__} | {"target": f"target_rv_cc_{o.horizon}d", "baseline": md.BASELINE}

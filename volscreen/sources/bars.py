@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +21,36 @@ def write_bars(bars: DataFrame, root: str) -> None:
     bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(root)
 
 
+class MissingBars(FileNotFoundError):
+    """Symbols that are not stored."""
+
+
+def stored_symbols(spark: SparkSession, root: str, symbols) -> set[str]:
+    """Those of ``symbols`` that are stored under ``root``: only their partitions are looked at."""
+    wanted = sorted({s.strip().upper() for s in symbols})
+    try:
+        held = spark.read.schema(BARS).parquet(root).where(F.col("symbol").isin(wanted)).select("symbol").distinct()
+        return {r.symbol for r in held.collect()}  # at most the symbols asked for
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def exists(spark: SparkSession, root: str, symbol: str) -> bool:
+    return bool(stored_symbols(spark, root, [symbol]))
+
+
 def read_bars(spark: SparkSession, root: str, symbols=None, start=None, end=None) -> DataFrame:
-    """Stored bars; symbols prune partitions and the inclusive dates reach the scan."""
-    bars = spark.read.schema(BARS).parquet(root)
+    """Stored bars; symbols prune partitions and the inclusive dates reach the scan.  MissingBars for a symbol that is not stored."""
     if symbols is not None:
-        bars = bars.where(F.col("symbol").isin([s.strip().upper() for s in symbols]))
+        wanted = sorted({s.strip().upper() for s in symbols})
+        missing = sorted({*wanted} - stored_symbols(spark, root, wanted))
+        if missing:
+            raise MissingBars(f"no bars of {missing} under {root}")
+        bars = spark.read.schema(BARS).parquet(root).where(F.col("symbol").isin(wanted))
+    else:
+        bars = spark.read.schema(BARS).parquet(root)
     if start is not None:
         bars = bars.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
