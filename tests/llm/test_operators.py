@@ -152,6 +152,29 @@ def test_pipeline_near_copies_of_null_ids(spark):
     ids = [(r.doc_id, r.text) for r in kept]
     assert len(ids) == 5 and {(2, near[200]), (3, words(80, 400)), (None, words(80, 600)), (None, None)} < {*ids}
     assert sum(r in [(None, words(80)), (None, near[0])] for r in ids) == 1
+    # rows of one id: the copy of document 1 goes, the unrelated text stays; of repeated rows one stays
+    rows = [(1, words(80)), (5, near[0]), (5, words(80, 600)), (6, near[400]), (6, near[400])]
+    kept = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, words(80)), (5, words(80, 600)), (6, near[400])])
+
+
+CLASHES = ("doc", "th", "starts", "lines", "covered", "n_lines", "n_lines_removed", "line_kept", "toxic_score", "scored_text", "copies", "copy", "row_key", "key", "size", "taken", "idx", "component_id", "ids")
+
+
+def test_clashing_columns(spark, rows):
+    data = [(*r[:5], *range(len(CLASHES))) for r in rows]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(8)], "doc_id long, toxic int")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        got, want = stage(spark, docs, "").collect(), stage(spark, plain, "").collect()
+        assert sorted(str(tuple(r[:5])) for r in got) == sorted(str(tuple(r)) for r in want), name
+        assert all(r[5:] == tuple(range(len(CLASHES))) for r in got), name
+    model = toxicity.train(docs, labels)
+    kept = toxicity.score(docs, model, keep="toxic_score").collect()
+    assert len(kept) == len(rows) and all(0 <= r.toxic_score <= 1 and r.scored_text == CLASHES.index("scored_text") for r in kept)
+    got = {r.doc_id: (r.n_lines, r.doc) for r in lines.dedup_lines(docs).collect()}
+    assert got == {i: (0 if t is None else len(t.split("\n")), 0) for i, t, *_ in rows}
 
 
 def test_bpe_round_trip(docs, rows):
@@ -327,6 +350,29 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.score(docs, none).collect())
 
 
+def test_risk_against_a_plain_restatement():
+    """One step from the start moves every weight against the slope of the non-negative risk, by finite differences."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 12, 6)) for _ in range(60)]
+    p, u, prior = rows[:20], rows[20:], 0.3
+
+    def risk(w, b):
+        z = [np.array([w[r].sum() + b for r in side]) for side in (p, u)]
+        left = np.logaddexp(0, z[1]).mean() - prior * np.logaddexp(0, z[0]).mean()
+        assert left > 0
+        return prior * np.logaddexp(0, -z[0]).mean() + left
+
+    start = np.log(prior / (1 - prior))
+    slope = [(risk(1e-5 * np.eye(12)[j], start) - risk(-1e-5 * np.eye(12)[j], start)) / 2e-5 for j in range(12)]
+    before = toxicity.EPOCHS
+    toxicity.EPOCHS = 1
+    try:
+        w, _ = toxicity.fit(p, u, prior)
+    finally:
+        toxicity.EPOCHS = before
+    assert np.allclose(w[:12], -toxicity.RATE * np.sign(slope), atol=1e-4) and not w[12:].any()
+
+
 def test_odd_rows(spark, odd):
     n = odd.count()
     for f in (substrings.dedup_substrings, lines.dedup_lines, jaccard.jaccard_components, sharding.shard_documents, mixing.taken_words):

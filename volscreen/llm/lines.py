@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import staged, table, tidy
+from volscreen.llm.common import fresh, staged, table, tidy
 
 WINDOW = 3
 
@@ -49,37 +49,40 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "w binary, doc long, th long, pos int")
 
 
-def _cut(text_and_starts: DataFrame, columns: list[str]) -> DataFrame:
-    covered = F.expr(f"flatten(transform(starts, s -> sequence(s, s + {WINDOW - 1})))")
-    lines = F.split(F.col("line_text"), "\n", -1)
-    kept = F.expr("filter(lines, (x, i) -> not array_contains(covered, i))")
-    cut = text_and_starts.withColumn("lines", lines).withColumn("covered", F.coalesce(F.array_distinct(covered), F.array().cast("array<int>")))
-    return cut.select(
-        *columns,
-        F.when(F.col("line_text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.size("covered").cast("long").alias("n_lines_removed"),
-        F.when(F.size("covered") == 0, F.col("line_text")).otherwise(F.array_join(kept, "\n")).alias("line_kept"),
-    )
+#: Columns that dedup_lines adds.
+OUT = ("n_lines", "n_lines_removed", "line_kept")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_lines_removed and line_kept, the text that stays (null stays null).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: tuple[str, str, str] = OUT) -> DataFrame:
+    """``docs`` with n_lines, n_lines_removed and line_kept (or the names ``out``), the text that stays (null stays null).
 
     Lines end at a line feed; an empty text is one empty line.  A null id comes after all others;
     rows of equal id and text are one document and are cut alike; texts of fewer than three lines
-    are never cut.  Other columns pass through.
+    are never cut.  Work on a text is linear in its length, however long.  Other columns pass through;
+    columns named like ``out`` are replaced, no other name is used.  An empty table gives an empty one.
     """
-    columns = docs.columns
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    keyed = docs.withColumns({"line_text": F.col(text_col).cast("string"), "line_doc": doc}).withColumn("line_th", F.xxhash64("line_text"))
-    found = staged(_windows(keyed.where("contains(line_text, '\n')").select("line_doc", "line_th", "line_text")), "line-windows")
+    columns = [c for c in docs.columns if c.lower() not in {o.lower() for o in out}]
+    text, doc, th, starts, d, h = fresh([*docs.columns, *out], "text_", "doc_", "th_", "starts_", "d_", "h_")
+    id_key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    keyed = docs.withColumns({text: F.col(text_col).cast("string"), doc: id_key}).withColumn(th, F.xxhash64(text))
+    several = keyed.where(F.contains(F.col(text), F.lit("\n"))).select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(text).alias("text"))
+    found = staged(_windows(several), "line-windows")
     place = F.struct("doc", "th", "pos")
     judged = found.where("w IS NOT NULL").withColumn("best", F.min(place).over(Window.partitionBy("w")))
     gone = judged.where(place > F.col("best")).select("doc", "th", "pos").unionByName(found.where("w IS NULL").select("doc", "th", "pos"))
-    starts = gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    places = gone.groupBy("doc", "th").agg(F.collect_set("pos").alias(starts)).withColumnsRenamed({"doc": d, "th": h})
     # only the rows that lose lines meet their positions; the join is on the row's own key
-    joined = keyed.join(starts, (F.col("line_doc") == F.col("doc")) & (F.col("line_th") == F.col("th")), "left")
-    return _cut(joined, columns)
+    joined = keyed.join(places, (F.col(doc) == F.col(d)) & (F.col(th) == F.col(h)), "left")
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (WINDOW - 1)))))
+    lines = F.split(F.col(text), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    return joined.select(
+        *columns,
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(out[0]),
+        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias(out[1]),
+        F.when(F.col(starts).isNull(), F.col(text)).otherwise(kept).alias(out[2]),
+    )
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

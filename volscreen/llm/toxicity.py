@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from volscreen.llm.common import WordHasher, as_bytes, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, fresh, staged, table, text_blocks, tidy
 
-#: Hashed word features, and the most rows of either kind that training reads.
-BUCKETS, MAX_POSITIVE, MAX_UNLABELLED = 1 << 17, 6000, 12000
+#: Hashed word features.
+BUCKETS = 1 << 17
 EPOCHS, RATE, DECAY, MIN_DF = 300, 0.05, 2e-4, 5
 FOLDS = 5
 _LETTERS = bytes(
@@ -77,17 +78,22 @@ def _bucket_rows(rows: DataFrame) -> DataFrame:
             texts = as_bytes(batch.column(0))
             for lo, hi in text_blocks(texts):
                 found = [f.tobytes() for f in features(hasher, [t or b"" for t in texts[lo:hi]])]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(found, pa.binary())], ["toxic", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(found, pa.binary())], ["doc_id", "toxic", "f"])
 
-    return rows.select("text", "toxic").mapInArrow(tidy(run), "toxic int, f binary")
+    return rows.select("text", "doc_id", "toxic").mapInArrow(tidy(run), "doc_id long, toxic int, f binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> tuple[np.ndarray, float]:
-    """A model from rows outside the held-out fold.
+def train(
+    docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", max_positive: int = 6000, max_unlabelled: int = 12000, max_bytes: int = 256 << 20
+) -> tuple[np.ndarray, float]:
+    """A model from labelled rows outside the held-out fold.
 
-    At most MAX_POSITIVE confirmed texts and MAX_UNLABELLED texts of any kind are read, picked by a
-    hash of doc_id.  The class prior is the share of toxic labels outside the held-out fold.  Without
-    toxic labels every score is near 0.
+    The sample is bounded by the parameters: at most ``max_positive`` confirmed toxic texts, and as the
+    unlabelled side at most ``max_unlabelled`` texts of labelled rows whose labels are put aside, both
+    picked by a hash of doc_id; their word lists take at most ``max_bytes`` (confirmed ones first) on
+    the driver.  The class prior is the share of toxic labels outside the held-out fold, over all rows.
+    Null ids and labels are left out; several labels of one id count as the highest, several texts of one
+    id as one of them.  Without toxic labels every score is near 0.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     known = (
@@ -96,24 +102,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    pick = F.xxhash64("doc_id", F.lit(7))
-    confirmed = known.where("toxic = 1").select("doc_id", "toxic").orderBy(pick, "doc_id").limit(MAX_POSITIVE)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drawn = rows.select("doc_id").where("doc_id IS NOT NULL").where(fold != 0).distinct()
-    drawn = drawn.orderBy(pick, "doc_id").limit(MAX_UNLABELLED)
-    ids = confirmed.unionByName(drawn.select("doc_id", F.lit(0).alias("toxic")))
-    sample = _bucket_rows(rows.join(F.broadcast(ids), "doc_id"))  # bounded by the two limits
-    got = sorted((r.toxic, bytes(r.f)) for r in sample.collect())
+    known = staged(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
+    pick = F.xxhash64("doc_id", F.lit(7))
+    confirmed = known.where("toxic = 1").orderBy(pick, "doc_id").limit(max_positive)
+    drawn = known.select("doc_id", F.lit(0).alias("toxic")).orderBy(pick, "doc_id").limit(max_unlabelled)
+    ids = confirmed.unionByName(drawn)
+    sample = _bucket_rows(rows.join(F.broadcast(ids), "doc_id")).groupBy("toxic", "doc_id").agg(F.min("f").alias("f"))  # bounded by the two limits
+    sample = staged(sample.select("toxic", "doc_id", pick.alias("h"), F.octet_length("f").cast("long").alias("n"), "f"), "training")
+    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("toxic"), "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # bounded, as above
+    fits = sample.select("toxic", "doc_id", F.sum("n").over(before).alias("sum")).where(F.col("sum") <= max_bytes)
+    got = sorted((r.toxic, bytes(r.f)) for r in sample.join(fits, ["toxic", "doc_id"]).select("toxic", "f").collect())
     parts = {k: [np.frombuffer(f, np.int32) for t, f in got if t == k] for k in (0, 1)}
     return fit(parts[1], parts[0], float(prior))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: bool = False, id_col="doc_id", text_col="text") -> DataFrame:
-    """A score for every row's whole text (null: the empty text).
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
+    """A score for every row's whole text (null: the empty text), however long.
 
-    Gives doc_id, held_out, score, predicted; with ``keep`` all columns of ``docs`` and ``score``
-    under the name toxic_score.  A null id is not held out.  Repeated rows score alike; an empty
-    table gives an empty one.
+    Gives doc_id, held_out, score, predicted; with ``keep`` all columns of ``docs`` and the score
+    under that name (a column of that name is replaced).  A null id is not held out.  Repeated rows
+    score alike; an empty table gives an empty one.
     """
     weights, bias = model[0].astype(np.float32), model[1]
 
@@ -126,15 +135,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: bool = False,
                 found = features(hasher, [t or b"" for t in texts[lo:hi]])
                 out[lo:hi] = [weights[f].sum(dtype=np.float64) + bias for f in found]
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], name])
 
+    name = keep or "toxic_score"
     if keep:
-        rows = docs.withColumn("scored_text", F.col(text_col).cast("string"))
-        names = docs.schema
+        docs = docs.select([c for c in docs.columns if c.lower() != keep.lower()])
+        rows = docs.withColumn(*fresh(docs.columns, "scored_text"), F.col(text_col).cast("string"))
+        fields = docs.schema.fields
     else:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("scored_text"))
-        names = rows.drop("scored_text").schema
-    scored = rows.mapInArrow(tidy(run), type(names)(list(names.fields)).add("toxic_score", "double"))
+        fields = rows.schema.fields[:1]
+    scored = rows.mapInArrow(tidy(run), StructType(list(fields)).add(name, "double"))
     if keep:
         return scored
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
