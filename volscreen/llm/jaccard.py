@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy, tidy_shuffles
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Hash orders besides the first, and hash classes of tokens (each stands for an order that puts it first).
@@ -174,7 +174,8 @@ def _common(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"key": key, "c": count[keep]})
 
     counts = packed.groupBy("bucket").applyInArrow(run, "key long, c long")
-    best = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow()  # at most COMMON rows
+    with tidy_shuffles(packed.sparkSession):
+        best = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow()  # at most COMMON rows
     key = best.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     return key[order], np.arange(len(key), 0, -1).astype(np.uint64)[order]
@@ -304,7 +305,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     discard(spark, held)
     token = Window.partitionBy("tok")
     shared = _prefixes(texts, common, rank, buckets).withColumns({"a": F.min("doc").over(token), "z": F.max("doc").over(token)})
-    shared = staged(shared.where("a < z").drop("z"), "shared-prefixes")
+    shared = staged(shared.where("a < z").drop("z"), "shared-prefixes")  # few: most tokens are of one set
     # one candidate for each set: the smallest set it shares a prefix token with
     star = shared.where("doc > a").groupBy(F.col("doc").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     links = staged(_verify(star, sketches, texts), "links-star")
