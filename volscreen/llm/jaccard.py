@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy, tidy_shuffles
+from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Hash orders besides the first, and hash classes of tokens (each stands for an order that puts it first).
@@ -174,10 +174,10 @@ def _common(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"key": key, "c": count[keep]})
 
     counts = packed.groupBy("bucket").applyInArrow(run, "key long, c long")
-    with tidy_shuffles(packed.sparkSession):
-        best = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow()  # at most COMMON rows
-    key = best.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
+    best = staged(counts.orderBy(F.desc("c"), "key").limit(COMMON), "common").toArrow()  # at most COMMON rows
+    key, count = best.column("key").to_numpy(), best.column("c").to_numpy()
+    falling = np.lexsort((key, -count))
+    key, order = key[falling].view(np.uint64), np.argsort(key[falling].view(np.uint64))
     return key[order], np.arange(len(key), 0, -1).astype(np.uint64)[order]
 
 
