@@ -200,6 +200,21 @@ def test_sharding(docs, rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_lpt_against_a_plain_restatement(docs, rows):
+    """With few groups every one is scheduled by itself: largest first, to the shard of the least load."""
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 4).collect()}
+    groups: dict = {}
+    for i, t, *_ in rows:
+        size, ids = groups.setdefault(t, [0, []])
+        groups[t] = [size + len((t or "").encode()) + 1, [*ids, i]]
+    loads, put = [0] * 4, [0] * 4
+    for size, _ids in sorted(groups.values(), key=lambda g: -g[0]):
+        loads[loads.index(min(loads))] += size
+    for size, ids in groups.values():
+        put[got[ids[0]]] += size
+    assert sorted(put) == sorted(loads)
+
+
 def test_mixing(docs, rows):
     got = mixing.taken_words(docs).collect()
     assert len(got) == len(rows)
@@ -304,6 +319,14 @@ def test_html_parts_inside_an_article():
     assert pages.extract(page, weights) == f"{head}\n\n{body.strip()}"
 
 
+def test_html_topics_and_deep_links():
+    weights = pages.fit()
+    page = '<article><p>one two</p><p class="notice-period">the notice period is long</p><p class="notice">gone</p><p>three four</p></article>'
+    assert pages.extract(page, weights) == "one two\n\nthe notice period is long\n\nthree four"
+    deep = list(pages.tokens("<a><b><i><u><s><em>deep</em></s></u></i></b></a>plain"))
+    assert [(t[1], t[3]) for t in deep if t[0] == "text"] == [("deep", True), ("plain", False)]
+
+
 def test_html_names_that_are_no_boilerplate():
     weights = pages.fit()
     body, end = "<p>" + "body " * 30 + "</p>", "<p>the closing words</p>"

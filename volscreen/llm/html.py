@@ -37,7 +37,7 @@ _HEADS = {"header", "masthead"}
 _HEADED = re.compile(r"(?:^|[_-])(?:article|entry|post|story)(?:$|[_-])", re.I)
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words beside a hint in the id of a section that is boilerplate; with other words it is an anchor.
-_LISTS = set("area articles block box container form items links list posts section stories thread".split())
+_LISTS = set("area articles bar block body bottom box container content form inner items left links list outer posts right row section slot stories thread top unit wrap wrapper".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|noscript|template|iframe|svg|textarea)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -74,7 +74,8 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
                 hints -= _HEADS
             if not hints or _STATE.search(name):
                 continue
-            if inside and tag == "section" and kind.lower() == "id" and not {*re.split("[_-]+", name.lower())} <= hints | _LISTS:
+            # inside an article a name with other words beside the hint is an anchor or a topic ("notice-period")
+            if inside and not {x for x in re.split("[_-]+", name.lower()) if not x.isdigit()} <= hints | _LISTS:
                 continue
             return True
     return False
@@ -92,21 +93,24 @@ def _region(stack: list[tuple[str, bool, int]]) -> int | None:
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
     """(kind, value, dropped, linked, region): kind is tag, end or text; dropped parts are inside boilerplate."""
     stack: list[tuple[str, bool, int]] = []
+    links = 0  # open a elements
     for m in _TOKEN.finditer(page):
         text, tag = m["text"], m["tag"]
         dropped = bool(stack) and stack[-1][1]
         if text is not None:
-            yield "text", text, dropped, any(s[0] == "a" for s in stack[-4:]), None if dropped or text.isspace() else _region(stack)
+            yield "text", text, dropped, links > 0, None if dropped or text.isspace() else _region(stack)
         elif tag is not None:
             tag = tag.lower()
             if m["end"]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if at is not None:
+                    links -= sum(s[0] == "a" for s in stack[at:])
                     del stack[at:]
                 yield "end", tag, dropped, False, None
                 continue
             if tag in ("article", "main", "body"):
                 stack = [s for s in stack if not s[1]]
+                links = sum(s[0] == "a" for s in stack)
                 dropped = False
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:
                 stack.pop()
@@ -118,6 +122,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
             yield "tag", tag, dropped or own, False, None
             if tag not in _VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, dropped or own, m.start()))
+                links += tag == "a"
 
 
 def fit(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, bool], float]:
@@ -193,7 +198,8 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
     """page_id, url, text, n_chars: the main text of every page.
 
     A null or empty page has an empty text.  Nulls in the other columns stay; repeated rows give
-    repeated rows; extra columns are not read; an empty table gives an empty one.
+    repeated rows; very long pages are read whole; extra columns are not read; an empty table gives an
+    empty one.
     """
     weights = fit()
 
