@@ -44,18 +44,37 @@ def volume() -> dict[str, Column]:
     return {"volume_z_21d": F.try_divide(v - rolling(v, F.avg, 21), F.when(sd != 0, sd))}
 
 
+def bipower_variation(n: int) -> Column:
+    """pi / 2 times the sum of products of absolute returns of neighbouring rows of an n-row window."""
+    return F.pi() / 2 * rolling(F.abs("r") * F.abs("r_lag"), F.sum, max(n - 1, 1))
+
+
+def bipower() -> dict[str, Column]:
+    """Bipower volatility, robust to jumps; not of the core families."""
+    return {f"bpv_trail_{n}d": F.sqrt(bipower_variation(n)) for n in HAR_WINDOWS}
+
+
 def jumps() -> dict[str, Column]:
     out = {}
     for n in HAR_WINDOWS:
         rv = rolling(F.col("r") * F.col("r"), F.sum, n)
-        bpv = F.pi() / 2 * rolling(F.abs("r") * F.abs("r_lag"), F.sum, max(n - 1, 1))
+        bpv = bipower_variation(n)
         out[f"jump_prop_{n}d"] = (
             F.when(rv > 0, F.when(bpv.isNotNull(), F.greatest(rv - bpv, F.lit(0.0)) / rv)).when(rv == 0, F.lit(0.0))
         )
     return out
 
 
-FAMILIES = {"returns": returns, "har": har, "range": ranges, "volume": volume, "jump": jumps}
+FAMILIES = {"returns": returns, "har": har, "range": ranges, "volume": volume, "jump": jumps, "bipower": bipower}
+
+
+def register(name: str, family) -> None:
+    """Add a family: a function that gives columns by name, over bars with ``r`` (log return) and ``r_lag``."""
+    if name in FAMILIES:
+        raise ValueError(f"{name} is a family already")
+    FAMILIES[name] = family
+
+
 CORE = ("returns", "har", "range", "volume")
 
 

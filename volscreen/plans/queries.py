@@ -115,6 +115,31 @@ def ranking(spark, d):
     return _r(ev.rank_features(ev.permutation_importance(folds(spark, d), horizon=HORIZON)))
 
 
+def rates_matrix(spark, d) -> DataFrame:
+    m = ft.feature_matrix(bars(spark, d), HORIZON, ("returns",), rates=aux(spark, d), drop=False)
+    return _r(m, "symbol", "date", "tnx_level", "tnx_chg_1d")
+
+
+def broken_report(spark, d) -> DataFrame:
+    """The report of bars that have been broken: nulls, negative volumes, wrong extremes and days that come twice."""
+    b, day = bars(spark, d), F.dayofmonth("date")
+    b = b.withColumns({
+        "close": F.when(day != 3, F.col("close")), "volume": F.when(day == 5, -F.col("volume")).otherwise(F.col("volume")),
+        "high": F.when(day == 7, F.col("low") - 1).otherwise(F.col("high")), "low": F.when(day == 9, F.col("high") + 1).otherwise(F.col("low")),
+    })
+    return va.bar_report(b.unionByName(b.where(day == 11)))
+
+
+_RANKED = ("ret_1d", "rv_cc_5d", "range_1d", "volume_z_21d")
+
+
+def ranking_of_means(spark, d) -> DataFrame:
+    """The ranking of a table that SQL can make: a feature's importance in a fold is its mean over the fold's test rows."""
+    f = folds(spark, d).where("role = 'test'").groupBy("symbol", "fold_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in _RANKED])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"), F.col(c).alias("importance")) for i, c in enumerate(_RANKED)]))
+    return _r(ev.rank_features(f.select("symbol", "fold_id", each.alias("x")).select("symbol", "fold_id", "x.*"), 2))
+
+
 def _base(df: DataFrame) -> DataFrame:
     return ev.differentials(df, "historical_mean")
 
@@ -145,6 +170,7 @@ _COLS = {
     "range": {"range_1d": "rng", "range_5d_mean": _roll("rng", "avg", 5)},
     "volume": {"volume_z_21d": f"(volume - {_roll('volume', 'avg', 21)}) / nullif({_roll('volume', 'stddev_samp', 21)}, 0)"},
     "jump": {},
+    "bipower": {f"bpv_trail_{n}d": f"sqrt(pi() / 2 * ({_roll('abs(r) * abs(rl)', 'sum', max(n - 1, 1))}))" for n in (1, 5, 21)},
 }
 for _n in (1, 5, 21):
     _rv, _bp = _roll("r * r", "sum", _n), _roll("abs(r) * abs(rl)", "sum", max(_n - 1, 1))
@@ -214,6 +240,12 @@ QUERIES = {
     "forecast_mean_and_implied": _forecast("historical_mean", "vix_as_forecast"),
     "forecast_ewma": _forecast("ewma"),
     "forecast_ou": _forecast("ou_rv"),
+    "forecast_har": _forecast("har_rv_ols"),
+    "fit_status": lambda s, d: md.fit_status(folds(s, d), ["historical_mean", "ou_rv", "ewma_recursive"], HORIZON),
+    "features_bipower": _family("bipower"),
+    "features_rates": rates_matrix,
+    "bar_report_broken": broken_report,
+    "ranking_of_means": ranking_of_means,
     "qlike_losses": _simple(ev.with_losses),
     "fold_metrics": _simple(ev.fold_metrics),
     "summary": _simple(lambda p: ev.summarize(ev.fold_metrics(p))),
@@ -279,9 +311,52 @@ ORACLE_SQL = {
                round(CASE WHEN f >= 0 THEN dm * sqrt(f) END, {PLACES}) AS hln FROM q""",
 }
 
+_X = ("rv_cc_1d", "rv_cc_5d", "rv_cc_21d")
+_COV = ", ".join(f"covar_pop({_X[i]}, {_X[j]}) AS c{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"covar_pop({x}, target) AS t{i}, avg({x}) AS m{i}" for i, x in enumerate(_X))
+
+
+def _minor(a: str, b: str, c: str, d: str) -> str:
+    return f"({a} * {d} - {b} * {c})"
+
+
+def _det(m: list[list[str]]) -> str:
+    return " + ".join(f"{s}{m[0][j]} * {_minor(m[1][k], m[1][l], m[2][k], m[2][l])}" for s, j, k, l in (("", 0, 1, 2), ("-", 1, 0, 2), ("", 2, 0, 1)))
+
+
+_C = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_SLOPES = ", ".join(f"({_det([[f't{i}' if k == j else _C[i][k] for k in range(3)] for i in range(3)])}) / ({_det(_C)}) AS b{j}" for j in range(3))
+ORACLE_SQL |= {
+    "forecast_har": f"""WITH {_FOLDS}, g AS (SELECT symbol, fold_id, avg(target) AS my, {_COV} FROM folds WHERE role = 'train' GROUP BY ALL),
+        s AS (SELECT *, {_SLOPES} FROM g)
+        SELECT symbol, 'har_rv_ols' AS model, CAST(fold_id AS INTEGER) AS fold_id, date, round(target, {PLACES}) AS y_true,
+               round(greatest(my + {' + '.join(f'b{i} * ({x} - m{i})' for i, x in enumerate(_X))}, 1e-8), {PLACES}) AS y_pred
+        FROM folds JOIN s USING (symbol, fold_id) WHERE role = 'test'""",
+    "fit_status": f"""WITH {_FOLDS}, g AS (SELECT symbol, fold_id, count(*) AS n, count(*) FILTER (target > 0) AS p FROM folds WHERE role = 'train' GROUP BY ALL),
+        m(model, least) AS (VALUES ('historical_mean', 1), ('ou_rv', 30), ('ewma_recursive', 30)),
+        h AS (SELECT *, CASE WHEN model = 'ou_rv' THEN p ELSE n END AS have FROM g CROSS JOIN m)
+        SELECT symbol, CAST(fold_id AS INTEGER) AS fold_id, model, n AS n_train,
+               CASE WHEN have >= least THEN 'ok' ELSE 'skipped_too_short: ' || have || ' of ' || least END AS status FROM h""",
+    "features_rates": f"""WITH {_RET}, vb AS (SELECT CAST(o_orderdate AS DATE) AS date, max_by(o_totalprice, o_orderkey) / 10000 AS close
+        FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+        t AS (SELECT date, close AS tnx_level, close / lag(close) OVER (ORDER BY date) - 1 AS tnx_chg_1d FROM vb)
+        SELECT l.symbol, l.date, {_rounded(['tnx_level', 'tnx_chg_1d'])} FROM lagged l ASOF LEFT JOIN t ON l.date >= t.date""",
+    "bar_report_broken": f"""WITH {_BARS}, b AS (SELECT symbol, date, open, CASE WHEN day(date) = 7 THEN low - 1 ELSE high END AS high,
+        CASE WHEN day(date) = 9 THEN high + 1 ELSE low END AS low, CASE WHEN day(date) <> 3 THEN close END AS close,
+        CASE WHEN day(date) = 5 THEN -volume ELSE volume END AS volume FROM bars),
+        a AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE day(date) = 11)
+        SELECT symbol, count(*) AS n_rows, count(*) FILTER (close IS NULL) AS n_null_rows,
+        count(DISTINCT date) FILTER (day(date) = 11) AS n_duplicate_days, count(*) FILTER (volume < 0) AS n_negative_volume,
+        count(*) FILTER (high < greatest(open, close, low)) AS n_high_too_low, count(*) FILTER (low > least(open, close, high)) AS n_low_too_high FROM a GROUP BY symbol""",
+    "ranking_of_means": f"""WITH {_FOLDS}, i AS ({' UNION ALL '.join(f"SELECT symbol, fold_id, '{c}' AS feature, {i} AS pos, round(avg({c}), 6) AS importance FROM folds WHERE role = 'test' GROUP BY symbol, fold_id" for i, c in enumerate(_RANKED))}),
+        p AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold_id ORDER BY importance DESC, pos) AS place FROM i)
+        SELECT symbol, feature, round(avg(importance), {PLACES}) AS mean_importance, round(median(importance), {PLACES}) AS median_importance,
+        round(coalesce(stddev_samp(importance), 0), {PLACES}) AS std_importance, count(*) AS n_folds,
+        round(count(*) FILTER (place <= 2) / count(*), {PLACES}) AS top_k_hit_rate FROM p GROUP BY symbol, feature""",
+}
+
 #: Queries with a date; both sides give it as text.
 _DATED = [k for k in ORACLE_SQL if "date" in ORACLE_SQL[k].rsplit("SELECT", 1)[1].split("FROM")[0] or k == "bars"]
-_DATED.remove("regimes")
+_DATED = [k for k in _DATED if k not in ("regimes", "bar_report_broken")]
 
 
 def _as_text(query):
