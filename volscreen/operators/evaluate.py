@@ -105,6 +105,12 @@ def student_tail(t: float, dof: float) -> float:
     return 1 - p if flip else p
 
 
+def with_p_value(dm: DataFrame) -> DataFrame:
+    """``dm`` and hln_p_value, two-sided with n_obs - 1 degrees of freedom; null where there is no statistic."""
+    tail = F.udf(lambda t, n: None if t is None else student_tail(t, n - 1), "double")  # one row a model
+    return dm.withColumn("hln_p_value", tail("hln", "n_obs"))
+
+
 def bootstrap(diffs: DataFrame, block: int = 15, resamples: int = 1999, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """symbol, model, mean_diff, ci_low, ci_high, p_value, status of the moving-block bootstrap of the mean.
 
@@ -130,8 +136,7 @@ def bootstrap(diffs: DataFrame, block: int = 15, resamples: int = 1999, alpha: f
 def summary_with_inference(panel: DataFrame, horizon: int = 5, block: int = 15, alpha: float = 0.05, resamples: int = 1999, seed: int = 0) -> DataFrame:
     """The race's summary with bootstrap and Diebold-Mariano columns; the baseline's are null."""
     diffs = differentials(panel)
-    tail = F.udf(lambda t, n: None if t is None else student_tail(t, n - 1), "double")  # one row a model
-    dm = diebold_mariano(diffs, horizon).select("symbol", "model", "dm", "hln", tail("hln", "n_obs").alias("hln_p_value"))
+    dm = with_p_value(diebold_mariano(diffs, horizon)).select("symbol", "model", "dm", "hln", "hln_p_value")
     test = bootstrap(diffs, block, resamples, alpha, seed).drop("status", "n_obs")
     joined = summarize(fold_metrics(panel)).join(test, ["symbol", "model"], "left").join(dm, ["symbol", "model"], "left")
     return joined.withColumn("significant_vs_baseline", (F.col("p_value") <= alpha) & (F.col("mean_diff") < 0)).orderBy("symbol", "qlike", "model")
