@@ -12,6 +12,7 @@ from volscreen.operators import folds as fd
 from volscreen.operators import models as md
 from volscreen.operators import validate as va
 from volscreen.plans import queries as q
+from volscreen.plans import screen
 from volscreen.sources import artifacts, scratch
 from volscreen.sources import bars as source
 
@@ -97,7 +98,38 @@ def bootstrap_status(spark: SparkSession, d: str) -> DataFrame:
     return q._r(ev.bootstrap(diffs, 200, 19), "symbol", "model", "n_obs", "mean_diff", "status")
 
 
+def _ingested(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    root = scratch.scratch_path(spark, "market")
+    return screen.ingest(q.bars(spark, d).unionByName(q.aux(spark, d)), root), root
+
+
+def _days(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
+
+
+def _symbols(spark: SparkSession, d: str) -> list[str]:
+    return [r.symbol for r in q.bars(spark, d).select("symbol").distinct().collect()]  # names of series
+
+
+def built_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Bars ingested, matrices built from the store and kept."""
+    market = _ingested(spark, d)[1]
+    kept = scratch.scratch_path(spark, "matrices")
+    return _days(screen.build_matrices(spark, market, kept, _symbols(spark, d), q.HORIZON, screen.Extras.parse(" IV_RV, vix")))
+
+
+def baseline_experiment(spark: SparkSession, d: str) -> DataFrame:
+    """The plain baselines over a stored matrix."""
+    root = scratch.scratch_path(spark, "matrix")
+    artifacts.write_matrix(q.matrix(spark, d), root, q.HORIZON)
+    made = artifacts.read_matrix(spark, root, q.HORIZON, _symbols(spark, d))
+    return q._r(screen.baseline_experiment(made, q.HORIZON, q.SPLITS)["metrics"])
+
+
 QUERIES = {
+    "ingested_bars": lambda s, d: _days(_ingested(s, d)[0]),
+    "built_matrices": built_matrices,
+    "baseline_experiment": baseline_experiment,
     "normalized_bars": normalized,
     "normalized_adjusted_bars": normalized_adjusted,
     "stored_bars": stored_bars,
@@ -125,7 +157,22 @@ s AS (SELECT *, {_RIDGE_SLOPES} FROM g)"""
 _TESTED = f"CAST(fold_id AS INTEGER) AS fold_id, date, round(target, {q.PLACES}) AS y_true, round(greatest({{y}}, 1e-8), {q.PLACES}) AS y_pred"
 _GRID = ", ".join(f"({g})" for g in md.GRID)
 
+_BASELINES = " UNION ALL ".join(
+    f"SELECT symbol, model, fold_id, y_true, y_pred FROM ({q.ORACLE_SQL[k]})".replace(f", {q.PLACES})", ", 17)")
+    + (" WHERE model = 'historical_mean'" if k == "forecast_mean_and_implied" else "")
+    for k in ("forecast_mean_and_implied", "forecast_ewma", "forecast_har")
+)
+_SPAN = "count(*) AS n_rows, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date"
+
 ORACLE_SQL = {
+    "ingested_bars": f"""WITH {q._BARS} SELECT symbol, {_SPAN} FROM bars GROUP BY symbol
+        UNION ALL SELECT 'VIX', count(DISTINCT o_orderdate), CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR), CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR)
+        FROM orders WHERE o_orderstatus = 'P'""",
+    "built_matrices": f"WITH {q._MATRIX} SELECT symbol, {_SPAN} FROM matrix GROUP BY symbol",
+    "baseline_experiment": f"""WITH l AS ({_BASELINES}),
+        f AS (SELECT symbol, model, fold_id, avg(ln(greatest(y_pred, 1e-8) ** 2) + y_true ** 2 / greatest(y_pred, 1e-8) ** 2) AS qlike,
+              avg((y_true - y_pred) ** 2) AS mse, avg(abs(y_true - y_pred)) AS mae FROM l GROUP BY ALL)
+        SELECT symbol, model, round(avg(qlike), {q.PLACES}) AS qlike, round(avg(mse), {q.PLACES}) AS mse, round(avg(mae), {q.PLACES}) AS mae FROM f GROUP BY ALL""",
     "normalized_bars": _NORMALIZED,
     "normalized_adjusted_bars": _NORMALIZED,
     "stored_bars": f"""WITH {q._BARS} SELECT symbol, date, open, high, low, close, volume FROM bars
@@ -172,6 +219,6 @@ ORACLE_SQL = {
 }
 
 for _k in QUERIES:
-    if _k not in ("ridge_coefficients", "fold_sizes_by_horizon", "dm_p_values", "bootstrap_status"):
+    if _k not in ("ridge_coefficients", "fold_sizes_by_horizon", "dm_p_values", "bootstrap_status", "ingested_bars", "built_matrices", "baseline_experiment"):
         QUERIES[_k] = q._as_text(QUERIES[_k])
         ORACLE_SQL[_k] = f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({ORACLE_SQL[_k]})"
