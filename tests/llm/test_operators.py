@@ -261,6 +261,19 @@ def test_exact_top_k(spark):
     assert got == want
 
 
+def test_exact_top_k_of_large_products(spark):
+    rng = np.random.default_rng(5)
+    vecs = [[float(x) for x in rng.integers(-(1 << 20), 1 << 20, 3)] for _ in range(60)]  # products beyond 2**53
+    vecs[7], vecs[8], vecs[9] = [1e300, 0.0, 0.0], [0.5, 0.25, 0.0], [1.7e308, 0.0, 0.0]
+    got = search.exact_top_k(spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>"), query_mod=4).collect()
+    whole = [[int(x * 1024) if abs(x) < 1e9 else int(min(x * 1024, 1.7976931348623157e308)) for x in v] for v in vecs]
+    for query in range(0, 60, 4):
+        score = {i: sum(a * b for a, b in zip(whole[query], v, strict=True)) for i, v in enumerate(whole) if i != query}
+        held = {i: max(-(1 << 63), min((1 << 63) - 1, s)) for i, s in score.items()}
+        best = sorted(held, key=lambda i: (-held[i], i))[:10]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == [(i, held[i]) for i in best]
+
+
 def test_neighbours(spark):
     data, df = vectors(spark)
     unit = [(i, np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float))) for i, v in usable(data) if np.any(v)]

@@ -244,21 +244,39 @@ def approximate_neighbours(rows: DataFrame, k: int = 5, query_mod: int = 50, id_
 # --- exact top-k --------------------------------------------------------------------------
 
 DIMENSIONS = 16
+#: Below this every sum of products of whole numbers is exact in doubles.
+WHOLE = 2.0**53
 
 
 def _prepare_exact(m: np.ndarray) -> tuple:
-    rest = [np.sqrt((m[:, d:].astype(np.float64) ** 2).sum(axis=1)) for d in range(0, m.shape[1] + DIMENSIONS, DIMENSIONS)]
+    with np.errstate(over="ignore"):
+        rest = [np.sqrt((m[:, d:].astype(np.float64) ** 2).sum(axis=1)) for d in range(0, m.shape[1] + DIMENSIONS, DIMENSIONS)]
     return m, np.stack(rest)
 
 
+def _large_products(query: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size, held at the ends of a long."""
+    q = [int(x) for x in query]
+    sums = [sum(a * int(x) for a, x in zip(q, row, strict=True)) for row in m]
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in sums], np.int64)
+
+
 def _branch_and_bound(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best) -> None:
-    """Add up products block by block of dimensions, dropping rows that the mass still to come cannot save."""
+    """Add up products block by block of dimensions, dropping rows that the mass still to come cannot save.
+
+    Rows whose product with the query may not be exact in doubles are multiplied as integers instead.
+    """
     qid, queries, q_rest = group
     columns = np.ascontiguousarray(m.T)  # vertical layout
     rest = _prepare_exact(m)[1]
     for q in range(len(queries)):
         own = rid == qid[q]  # rows of the query's id are no candidates, nor may they bound others
-        alive = np.flatnonzero(~own) if own.any() else None
+        with np.errstate(invalid="ignore", over="ignore"):
+            small = rest[0] * q_rest[0, q] * (1 + 1e-9) < WHOLE
+        if not small.all():
+            large = np.flatnonzero(~small & ~own)
+            best.add(q, _large_products(queries[q], m[large]), rid[large])
+        alive = np.flatnonzero(small & ~own) if own.any() or not small.all() else None
         score = np.zeros(len(rid) if alive is None else len(alive))
         for j, d in enumerate(range(0, len(columns), DIMENSIONS)):
             part = columns[d : d + DIMENSIONS] if alive is None else columns[d : d + DIMENSIONS, alive]
@@ -280,13 +298,19 @@ def _branch_and_bound(group: tuple, rid: np.ndarray, m: np.ndarray, best: Best)
 def exact_top_k(rows: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 1024, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(scale * x).
 
-    Exact while products stay below 2**53.  Queries are the rows whose id is divisible by
+    Exact at any size; a product beyond a long is held at its end.  Queries are the rows whose id is divisible by
     ``query_mod``; a row is no candidate of a query of its own id, nor of one of other dimensions.
     Null ids, null and empty vectors and those holding null or non-finite components take no part.
     Ties go to the smaller id; other columns are not read; an empty table gives an empty one.
     """
     rows = vectors(rows, id_col, vec_col)
-    whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * float(scale)).cast("double")).alias("v"))
+    most = F.lit(float(np.finfo(np.float64).max))
+
+    def scaled(x):
+        y = F.greatest(-most, F.least(most, x * float(scale)))
+        return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)  # doubles from 2**53 on are whole
+
+    whole = rows.select("vec_id", F.transform("v", scaled).alias("v"))
     return _search(whole, query_mod, k, "long", _branch_and_bound, _prepare_exact)
 
 
