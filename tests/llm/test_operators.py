@@ -366,6 +366,34 @@ def test_html_names_that_are_no_boilerplate():
             assert pages.extract(f"<body><article><h1>the head line</h1>{body}{outer}{end}</article></body>", weights) == text, gone
 
 
+def test_html_scan_decides_what_no_list_names():
+    """Boilerplate in neutral elements: the scan leaves it out; without the scan it would stand in the text."""
+    weights = pages.fit()
+    body = "<p>" + "body " * 40 + "</p>"
+    text = "the head line\n\n" + ("body " * 40).strip()
+    notes = ('<div class="legal">all prices may change at any time</div>', '<div class="x1"><p>you are reading this as a guest today</p></div>', '<div class="ad">buy our shoes now</div>')
+    for note in notes:
+        for main in (f"<article><h1>the head line</h1>{body}</article>", f"<main><div><h1>the head line</h1></div><div>{body}</div></main>", f"<h1>the head line</h1><article>{body}</article>"):
+            assert pages.extract(f"<html><body>{note}{main}{note}</body></html>", weights) == text, (note, main)
+    # pages without such elements: a headline of one word in an element of its own stays
+    free = f'<body><nav><a href="/">home</a></nav><div id="content"><div><h1>Bread</h1></div><div>{body}</div></div><footer>us</footer></body>'
+    assert pages.extract(free, weights) == "Bread\n\n" + ("body " * 40).strip()
+    # few words in an article do not make the rest of a page boilerplate
+    cards = f'<body><div id="content">{body}</div><div><article>a card</article></div></body>'
+    assert ("body " * 40).strip() in pages.extract(cards, weights)
+
+
+def test_best_run_against_every_run():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        scores = [int(x) for x in rng.integers(-5, 6, int(rng.integers(0, 14)))]
+        runs = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        lo, hi = pages.best_run(scores, [None] * len(scores))
+        assert sum(scores[lo:hi]) == max([0, *(r[0] for r in runs)])
+    # what parts two texts of one region costs nothing, what stands before them still does
+    assert pages.best_run([4, -9, 2, -50, 3, -1, 1], [None, None, 1, None, 1, None, None]) == (2, 5)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(1)
     vocab = [f"v{i}" for i in range(60)]

@@ -1,9 +1,11 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags.  Words score positive where labelled pages have content and
-negative where they have menus, adverts and the like; tags score by how labelled pages use them.
-One linear scan finds the contiguous run of highest score, and the blocks it touches are the text.
-The lists of elements and names below decide what is boilerplate; the scan only bounds the region.
+A page is a sequence of words and tags.  A word scores by how labelled pages use words that stand as
+it does (plain, linked or in a headline; inside or outside of the page's article), a tag by how they
+use that tag.  One linear scan finds the contiguous run of highest score: the main text lies in it.
+Where most words of a page stand in its article or main elements the scan alone decides what around
+them goes; the lists of elements and names below take boilerplate out of the run and, in pages
+without such elements, out of what is scored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ _HINT = re.compile(
 _STATE = re.compile(r"(?:^|[_-])(?:has|no|not|with|without|show|hide)[_-]", re.I)
 _HEADS = {"header", "masthead"}
 _HEADED = re.compile(r"(?:^|[_-])(?:article|entry|post|story)(?:$|[_-])", re.I)
+_MAIN = {"article", "main"}
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Words beside a hint in the id of a section that is boilerplate; with other words it is an anchor.
 _LISTS = set("area articles bar block body bottom box container content form inner items left links list outer posts right row section slot stories thread top unit wrap wrapper".split())
@@ -59,6 +62,17 @@ LABELLED = (
     '<body><div><a href="/l">log in</a><a href="/s">sign up</a></div><main>{<h1>a walk</h1><p>we left at dawn and met no one until noon</p>'
     '<blockquote>the hills are quiet</blockquote><p>then came the <a href="/m">marsh</a> and the long way back</p>}</main>'
     '<form><input name="q"><button>search the site</button></form><div><a href="/t">terms</a><a href="/p">privacy</a></div></body>',
+    '<body><div class="top">welcome guest you are not signed in</div>{<h1>the last ferry</h1><article><p>it left the pier at ten past nine with four cars and a dog on board</p>'
+    '<p>no one waved and the <a href="/c">captain</a> kept his eyes on the far shore</p>'
+    '<p>by noon the bridge was open and the pier had been sold to a man from the city who means to serve coffee there</p></article>}<div class="legal">prices may change at any time without a word from us</div>'
+    '<div>printed on paper by the island press</div></body>',
+    '<body><div class="x1">the weather today is mild with some cloud in the west</div><main><p>{<b>salt</b> is older than any road that carries it</p>'
+    '<p>men walked for weeks to trade a bag of it for a bag of grain</p>'
+    '<p>towns that stood on it grew rich and towns that lay far from it paid what they were asked and learned to be polite</p><ul><li>sea salt</li><li>rock salt</li></ul>}</main>'
+    '<div class="x2"><a href="/1">ten ways to sleep</a><a href="/2">why cats stare</a></div><div class="x3">we use your data to make this site better for you</div></body>',
+    '<body><div class="top">call us now</div><div class="text">{<div><h1>how to mend a net before the tide turns</h1></div><div><p>lay it flat in good light and find the first whole knot above the hole</p>'
+    '<p>cut the loose ends away then tie from knot to knot until the hole is closed</p></div><div><p>see the <a href="/k">list of knots</a> for names</p></div>}</div>'
+    '<div class="end"><a href="/a">about the club</a><a href="/j">join us</a></div></body>',
 )
 
 
@@ -83,22 +97,28 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
 
 def _region(stack: list[tuple[str, bool, int]]) -> int | None:
     """The outermost article or main, else the element that holds the block (none if that is the body)."""
-    outer = next((n for t, _, n in stack if t in ("article", "main")), None)
+    outer = next((n for t, _, n in stack if t in _MAIN), None)
     if outer is not None:
         return outer
     blocks = [s for s in stack if s[0] not in _INLINE]
     return blocks[-2][2] if len(blocks) > 1 and blocks[-2][0] not in ("html", "body") else None
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
-    """(kind, value, dropped, linked, region): kind is tag, end or text; dropped parts are inside boilerplate."""
+def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None, bool, bool]]:
+    """(kind, value, dropped, linked, region, inside, headline) of every token.
+
+    Kind is tag, end or text; dropped parts are in what the lists name boilerplate, inside ones in an
+    article or main, headlines in an h1.
+    """
     stack: list[tuple[str, bool, int]] = []
     links = 0  # open a elements
     for m in _TOKEN.finditer(page):
         text, tag = m["text"], m["tag"]
         dropped = bool(stack) and stack[-1][1]
         if text is not None:
-            yield "text", text, dropped, links > 0, None if dropped or text.isspace() else _region(stack)
+            names = {t for t, *_ in stack}
+            region = None if dropped or text.isspace() else _region(stack)
+            yield "text", text, dropped, links > 0, region, not names.isdisjoint(_MAIN), "h1" in names
         elif tag is not None:
             tag = tag.lower()
             if m["end"]:
@@ -106,70 +126,116 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool, int | None]]:
                 if at is not None:
                     links -= sum(s[0] == "a" for s in stack[at:])
                     del stack[at:]
-                yield "end", tag, dropped, False, None
+                yield "end", tag, dropped, False, None, any(s[0] in _MAIN for s in stack), False
                 continue
-            if tag in ("article", "main", "body"):
+            if tag in _MAIN or tag == "body":
                 stack = [s for s in stack if not s[1]]
                 links = sum(s[0] == "a" for s in stack)
                 dropped = False
             elif tag in ("p", "li") and stack and stack[-1][0] == tag:
                 stack.pop()
                 dropped = bool(stack) and stack[-1][1]
-            inside = any(s[0] in ("article", "main") for s in stack)
+            inside = any(s[0] in _MAIN for s in stack)
             own = tag in _NEVER or (tag == "header" and not inside) or (
                 tag not in ("html", "body", "article", "main") and _boilerplate(tag, m["attrs"], inside)
             )
-            yield "tag", tag, dropped or own, False, None
+            yield "tag", tag, dropped or own, False, None, inside, False
             if tag not in _VOID and not m["attrs"].endswith("/"):
                 stack.append((tag, dropped or own, m.start()))
                 links += tag == "a"
 
 
-def fit(pages: tuple[str, ...] = LABELLED) -> dict[tuple[str, bool], float]:
-    """Log-odds of content for words (plain, linked) and for each tag, from labelled pages.
+def _focused(page: list[tuple]) -> bool:
+    """Whether at least half of the words that no list drops stand in an article or main."""
+    n = {True: 0, False: 0}
+    for kind, value, dropped, _, _, inside, _ in page:
+        if kind == "text" and not dropped:
+            n[inside] += len(value.split())
+    return n[True] > 0 and n[True] >= n[False]
+
+
+def _scored(page: list[tuple], focused: bool) -> Iterator[tuple[tuple, str | tuple[str, str] | None]]:
+    """Each token with the key of its weight; None for tokens that score nothing.
+
+    Outside of the main elements of a focused page boilerplate is scored like all else there.
+    """
+    for token in page:
+        kind, value, dropped, linked, _, inside, headline = token
+        key = None
+        if not dropped or (focused and not inside):
+            if kind == "text":
+                place = "free" if not focused else "in" if inside else "out"
+                key = ("link" if linked else "head" if headline and not dropped else "word", place)
+            elif kind == "tag":
+                key = "<" + value
+        yield token, key
+
+
+def fit(pages: tuple[str, ...] = LABELLED) -> dict[str | tuple[str, str], float]:
+    """Log-odds of content from labelled pages: of words by kind and place, and of tags.
 
     Tags cost at least a little: a run of tags without words is never content.
     """
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for page in pages:
-        content = False
-        for part in re.split(r"([{}])", page):
-            if part in "{}" and part:
-                content = part == "{"
-                continue
-            for kind, value, dropped, linked, _ in tokens(part):
-                if kind == "text":
-                    if not dropped:
-                        seen[content]["link" if linked else "word"] += len(value.split())
-                elif kind == "tag":
-                    seen[content]["<" + value] += 1
-    words = {k: math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) for k in ("word", "link")}
-    tags = {k: min(-0.1, math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) - 1) for k in {*seen[True], *seen[False]} if k[0] == "<"}
-    return words | tags
+        focused, content = _focused(list(tokens(re.sub("[{}]", "", page)))), False
+        for (kind, value, *_), key in _scored(list(tokens(page)), focused):
+            if kind == "tag" and key:
+                seen[content][key] += 1
+            for part in re.split(r"([{}])", value) if kind == "text" else ():
+                if part in ("{", "}"):
+                    content = part == "{"
+                elif key:
+                    seen[content][key] += len(part.split())
+    words = [(kind, place) for kind in ("word", "link", "head") for place in ("in", "out", "free")]
+    odds = {k: math.log((seen[True][k] + 0.5) / (seen[False][k] + 0.5)) for k in {*words, *seen[True], *seen[False]}}
+    return {k: v if k in words else min(-0.1, v - 1) for k, v in odds.items()}
+
+
+def best_run(scores: list[float], regions: list[int | None]) -> tuple[int, int]:
+    """The contiguous run of highest score, by one scan; (0, 0) where none is above zero.
+
+    What stands between two positive scores of one region (not None) costs nothing, so it cannot part them.
+    """
+    best, best_at, run, begin = 0.0, (0, 0), 0.0, 0
+    held: dict[int, tuple[float, int]] = {}  # the run up to the last positive score of each region
+    for i, (s, region) in enumerate(zip(scores, regions, strict=True)):
+        if run <= 0:
+            run, begin = 0.0, i
+        if s > 0 and region in held:
+            run, begin = max((run, begin), held[region], key=lambda x: (x[0], -x[1]))
+        run += s
+        if s > 0 and region is not None:
+            held[region] = (run, begin)
+        if run > best:
+            best, best_at = run, (begin, i + 1)
+    return best_at
 
 
 def extract(page: str, weights: dict) -> str:
     """The text of a page: blocks joined by two line feeds.
 
-    Dropped parts score nothing.  Links and tags between two texts of one region (an article, or
-    blocks side by side in one element) cost nothing either, so they cannot part them.
+    A region is all that stands in articles and mains of a focused page, else an article or main or the
+    blocks side by side in one element.
     """
+    parsed = list(tokens(page))
+    focused = _focused(parsed)
     blocks: list[list[str]] = [[]]
     scores: list[float] = []
     block_of: list[int] = []
     regions: list[int | None] = []
-    for kind, value, dropped, linked, region in tokens(page):
+    for (kind, value, dropped, _, region, inside, _), key in _scored(parsed, focused):
         if kind == "text":
             n = len(value.split())
-            if n and not dropped:
-                scores.append(n * weights["link" if linked else "word"])
-                block_of.append(len(blocks) - 1)
-                regions.append(region)
+            if n and key:
+                scores.append(n * weights[key])
+                block_of.append(-1 if dropped else len(blocks) - 1)
+                regions.append(region if not focused else 0 if inside else None)
             if not dropped:
                 blocks[-1].append(value)
             continue
-        if kind == "tag" and not dropped:
-            scores.append(weights.get("<" + value, -1.0))
+        if key:
+            scores.append(weights.get(key, -1.0))
             block_of.append(-1)
             regions.append(None)
         if value not in _INLINE:
@@ -177,19 +243,7 @@ def extract(page: str, weights: dict) -> str:
                 blocks.append([])
         elif value == "br" and not dropped:
             blocks[-1].append(" ")
-    best, best_at, run, begin = 0.0, (0, 0), 0.0, 0
-    held: dict[int, tuple[float, int]] = {}  # the run up to the last text of each region
-    for i, (s, region) in enumerate(zip(scores, regions, strict=True)):
-        if run <= 0:
-            run, begin = 0.0, i
-        if s > 0 and region in held:
-            run, begin = max((run, begin), held[region], key=lambda x: (x[0], -x[1]))
-        run += s
-        if s > 0 and region is not None:
-            held[region] = (run, begin)
-        if run > best:
-            best, best_at = run, (begin, i + 1)
-    hit = dict.fromkeys(b for b in block_of[slice(*best_at)] if b >= 0)
+    hit = dict.fromkeys(b for b in block_of[slice(*best_run(scores, regions))] if b >= 0)
     found = (" ".join(_html.unescape("".join(blocks[b])).split()) for b in hit)
     return "\n\n".join(t for t in found if t)
 
