@@ -188,6 +188,28 @@ def test_bpe_round_trip(docs, rows):
         assert r.decoded == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_repairs_joins():
+    """A tokenizer that keeps the space before a word disagrees at joins; the repaired ids are those of the whole text."""
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    library, coder = Tokenizer.from_file(path), bpe.ChunkEncoder(path)
+    rng = np.random.default_rng(4)
+    vocab = [*words(300).split(), "don't", "naïve", "数据", "1234567", "...", "a" * 400]
+    texts = ["", " ", "one"]
+    for n in (5, 400, 1500, 3000):
+        picked = [vocab[i] for i in rng.integers(0, len(vocab), n)]
+        gaps = rng.choice([" ", "  ", "\n", "\t ", "\n\n"], n)
+        texts.append("".join(w + g for w, g in zip(picked, gaps, strict=True)))
+        texts.append(texts[-1] + texts[-1][: len(texts[-1]) // 2])
+    ids, decoded = coder([t.encode() for t in texts])
+    for t, i, d in zip(texts, ids, decoded, strict=True):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(i, "<u4").tolist() == want
+        assert d.decode() == library.decode(want, skip_special_tokens=False)
+    assert coder.repaired > 0 and coder.reused > 0
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_documents(docs, 4).collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
