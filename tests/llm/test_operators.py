@@ -296,6 +296,18 @@ def test_exact_top_k_of_large_products(spark):
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)] == [(i, held[i]) for i in best]
 
 
+def test_queries_of_many_blocks(spark, monkeypatch):
+    data, df = vectors(spark)
+    # rows of one id in different blocks are one query
+    df = df.unionByName(spark.createDataFrame([(100, [float(i) for i in range(16)], "c"), (200, data[100][1], "c")], df.schema))
+    for f in (search.exact_top_k, search.approximate_neighbours):
+        once = sorted(map(tuple, f(df, query_mod=20).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(search, "BLOCK", 4)
+            m.setattr(search, "PROBED", 4)
+            assert sorted(map(tuple, f(df, query_mod=20).collect())) == once, f.__name__
+
+
 def test_neighbours(spark):
     data, df = vectors(spark)
     unit = [(i, np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float))) for i, v in usable(data) if np.any(v)]

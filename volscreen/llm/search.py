@@ -1,8 +1,10 @@
 """Vector search: multiprobe p-stable hashing, and exact top-k by columnar branch-and-bound.
 
-A stated query set meets all rows in blocks of at most BLOCK queries.  A block travels to the
-workers in the task's closure, a bounded BLOCK * dimensions * 8 bytes; the rows are not shuffled.
-Each task keeps k rows a query, and only those are merged by query.
+A stated query set meets all rows in blocks of queries, one job each: the driver holds one block at
+a time and no plan grows with the queries.  A block travels to the workers in the task's closure:
+BLOCK * dimensions * 16 bytes at most for exact search, PROBED * (TABLES * PROBES + dimensions) * 8
+(52 MB and the vectors) for hashing.  The rows are not shuffled.  Each task keeps k rows a query, and
+only those are merged by query and written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import staged, table, tidy
+from volscreen.llm.common import staged, staged_path, stored, table, tidy
 
-#: Queries in a block and rows that a task looks at together.
-BLOCK, ROWS = 4096, 16384
+#: Queries in a block (of exact search, of hashing) and rows that a task looks at together.
+BLOCK, PROBED, ROWS = 4096, 1024, 16384
 #: Hash tables, hashes in each, bucket width on unit vectors and buckets visited per table.
 TABLES, HASHES, WIDTH, PROBES = 16, 6, 1.0, 400
 SEED = 20240917
@@ -30,13 +32,13 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return kept.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Blocks of at most BLOCK queries; one partition at a time comes to the driver."""
+def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Blocks of at most ``most`` queries; one partition at a time comes to the driver."""
     ids, vecs = [], []
     for r in queries.toLocalIterator():
         ids.append(r.vec_id)
         vecs.append(np.array(r.v))
-        if len(ids) == BLOCK:
+        if len(ids) == most:
             yield np.array(ids), vecs
             ids, vecs = [], []
     if ids:
@@ -89,12 +91,14 @@ class Best:
         self.scores[q], self.ids[q] = scores[order], ids[order]
 
 
-def _search(rows: DataFrame, query_mod: int, k: int, kind: str, visit: Callable, prepare: Callable) -> DataFrame:
+def _search(rows: DataFrame, query_mod: int, k: int, kind: str, visit: Callable, prepare: Callable, most: int) -> DataFrame:
     spark = rows.sparkSession
     kept = staged(rows, "vectors")
     picked = kept.where(F.col("vec_id") % query_mod == 0).dropDuplicates()
-    found = None
-    for ids, vecs in query_blocks(picked):
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = f"query_id long, rank int, vec_id long, score {kind}"
+    paths = []
+    for ids, vecs in query_blocks(picked, most):
         groups = {n: (i, *prepare(m)) for n, (i, m) in by_size(ids, vecs).items()}
 
         def run(batches: Iterator[pa.RecordBatch], groups=groups) -> Iterator[pa.RecordBatch]:
@@ -110,15 +114,17 @@ def _search(rows: DataFrame, query_mod: int, k: int, kind: str, visit: Callable,
                         ["query_id", "vec_id", "score"],
                     )
 
-        part = kept.mapInArrow(tidy(run), f"query_id long, vec_id long, score {kind}")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        found = kept.mapInArrow(tidy(run), f"query_id long, vec_id long, score {kind}")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        paths.append(staged_path(spark, "nearest"))
+        stored(found.select("query_id", "rank", "vec_id", "score"), paths[-1])
+    if not paths:
+        return spark.createDataFrame([], out)
+    nearest = spark.read.schema(out).parquet(*paths)
+    if len(paths) == 1:
+        return nearest
+    # rows of one id may be queries of two blocks
+    return nearest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 # --- multiprobe p-stable hashing ----------------------------------------------------------
@@ -238,7 +244,7 @@ def approximate_neighbours(rows: DataFrame, k: int = 5, query_mod: int = 50, id_
     zero vectors and those holding null or non-finite components take no part.  Ties go to the
     smaller id; other columns are not read; an empty table gives an empty one.
     """
-    return _search(vectors(rows, id_col, vec_col), query_mod, k, "double", _visit_buckets, _prepare_probes)
+    return _search(vectors(rows, id_col, vec_col), query_mod, k, "double", _visit_buckets, _prepare_probes, PROBED)
 
 
 # --- exact top-k --------------------------------------------------------------------------
@@ -311,7 +317,7 @@ def exact_top_k(rows: DataFrame, k: int = 10, query_mod: int = 100, scale: int =
         return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)  # doubles from 2**53 on are whole
 
     whole = rows.select("vec_id", F.transform("v", scaled).alias("v"))
-    return _search(whole, query_mod, k, "long", _branch_and_bound, _prepare_exact)
+    return _search(whole, query_mod, k, "long", _branch_and_bound, _prepare_exact, BLOCK)
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
