@@ -448,6 +448,29 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.score(docs, none).collect())
 
 
+def test_toxicity_of_inflected_words(spark):
+    """Toxic words of one stem, each with an ending that no other text has; clean texts share the other beginnings."""
+    rng = np.random.default_rng(6)
+    vocab = [f"v{i}" for i in range(60)]
+    data = [(i, " ".join([*rng.choice(vocab, 40), *([f"Réprou{i}x", f"réprou{i}y"] if i % 8 == 0 else [f"rézon{i}x", f"rézon{i}y"])])) for i in range(800)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)], "doc_id long, toxic int")
+    got = [(r.predicted, int(r.doc_id % 8 == 0)) for r in toxicity.score(docs, toxicity.train(docs, labels)).collect() if r.held_out]
+    assert sum(a == b for a, b in got) / len(got) > 0.95 and any(b for _, b in got)
+    assert sum(a for a, b in got if b) / sum(b for _, b in got) > 0.9
+
+
+def test_toxicity_features_that_are_wanted():
+    hasher, texts = common.WordHasher(), [words(300).encode(), b"", "Été été étés, étés".encode(), b"one"]
+    every = toxicity.features(hasher, texts)
+    flags = np.zeros(toxicity.BUCKETS, bool)
+    flags[np.concatenate(every)[::3]] = True
+    for x, y in zip(every, toxicity.features(hasher, texts, flags), strict=True):
+        assert np.array_equal(x[flags[x]], y)
+    # two words; beginnings of 3 and 4 letters; those that are frequent: both
+    assert [len(x) for x in every[1:]] == [0, 6, 2]
+
+
 def test_risk_against_a_plain_restatement():
     """One step from the start moves every weight against the slope of the non-negative risk, by finite differences."""
     rng = np.random.default_rng(2)
