@@ -158,6 +158,33 @@ def test_pipeline_near_copies_of_null_ids(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, words(80)), (5, words(80, 600)), (6, near[400])])
 
 
+def test_jaccard_holds_little_of_the_texts(spark, docs, rows, monkeypatch):
+    """Batches for Python are bounded by bytes at every write, and tokens are counted in blocks of BLOCK bytes."""
+    import pyarrow as pa
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    for name in ("staged", "stored", "bucketed"):
+        plain = getattr(jaccard, name)
+        monkeypatch.setattr(jaccard, name, lambda *a, plain=plain: seen.append(spark.conf.get(key)) or plain(*a))
+    assert jaccard.jaccard_components(docs).count() == len(rows)
+    assert seen and {*seen} == {str(1 << 22)} and spark.conf.get(key) == before
+
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"t{i}x{j}" for j in range(300_000)) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(texts)], ["doc", "text"])
+    out = list(jaccard._tokens_and_sketches(Caught(), 4)(iter([batch])))
+    assert [sum(x is not None for x in b.column("doc").to_pylist()) for b in out] == [1, 1, 1]
+    packed = [len(x or b"") // 4 for b in out for c in ("once", "often") for x in b.column(c).to_pylist()]
+    assert sum(packed) == 3 * (300_000 - 4)
+
+
 CLASHES = ("doc", "th", "starts", "lines", "covered", "n_lines", "n_lines_removed", "line_kept", "toxic_score", "scored_text", "copies", "copy", "row_key", "key", "size", "taken", "idx", "component_id", "ids")
 
 

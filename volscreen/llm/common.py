@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that a Python worker holds at once inside small_batches (one larger row stands alone).
+BATCH_BYTES = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,17 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, rows go to Python workers in batches of BATCH_BYTES; all of them go, whole."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to ``path`` and read again; the shuffle files of the write go when it ends."""
     with tidy_shuffles(df.sparkSession):

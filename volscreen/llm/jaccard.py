@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, staged, staged_path, stored, table, text_blocks, tidy
+from volscreen.llm.common import WordHasher, as_bytes, bucketed, discard, gram_hashes, mix64, partitions, small_batches, staged, staged_path, stored, table, text_blocks, tidy
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Hash orders besides the first, and hash classes of tokens (each stands for an order that puts it first).
 ORDERS, CLASSES = 2, 128
 #: Tokens that stand last in the first order: the most common ones, at most so many (16 bytes each).
 COMMON = 1 << 19
-#: Tokens counted in one group.
-BUCKET = 1 << 22
+#: Tokens counted in one group, and bytes of texts whose tokens are counted together before.
+BUCKET, BLOCK = 1 << 22, 1 << 22
 #: Further passes of one candidate a set, over groups of at least LARGE sets.
 CENTRES, LARGE = 1, 16
 
@@ -135,7 +135,7 @@ def _tokens_and_sketches(texts: DataFrame, buckets: int) -> DataFrame:
         hasher = WordHasher(lower=True)
         for batch in batches:
             docs, texts = batch.column(0), as_bytes(batch.column(1))
-            for lo, hi in text_blocks(texts, 1 << 24):
+            for lo, hi in text_blocks(texts, BLOCK):
                 some = texts[lo:hi]  # counted together, hashed a small block at a time
                 sets = [s for x, y in text_blocks(some) for s in shingle_sets(hasher, some[x:y])]
                 tok, count = np.unique(np.concatenate(sets), return_counts=True)
@@ -285,6 +285,11 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     only if no other row has a null id, and its component id may be null.  Other columns are not
     read; an empty table gives an empty one.
     """
+    with small_batches(docs.sparkSession):  # all Python stages are written in here
+        return _components(docs, id_col, text_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark, null = docs.sparkSession, -(1 << 63)
     node = F.coalesce(F.col(id_col).cast("long"), F.lit(null))
     rows = docs.select(node.alias("doc"), F.col(text_col).cast("string").alias("text"))
